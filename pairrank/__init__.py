@@ -5,4 +5,12 @@ interactions become labelled matrices and models, and tables of queries are answ
 with exact top-k rankings. Everything is a Spark plan; see README.md for the layout.
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# The few Arrow functions travel to the executors inside the task, so a cluster needs no
+# copy of this package on its workers.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
