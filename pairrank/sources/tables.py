@@ -19,6 +19,7 @@ from pyspark.errors import AnalysisException
 from pairrank.operators.keyed import KEY, last_wins, merge_payload
 from pairrank.session import shared_dir
 
+# For large tables pass more, so that one partition stays at some gigabytes.
 BUCKETS = 64
 
 
@@ -67,19 +68,21 @@ class KeyedTable:
             return
         current = self._stored().filter(F.col("key_bucket").isin(touched))
         merged = merge_payload(current, updates, self.payload, ["key_bucket", *KEY])
-        merged.select(*self.schema.names, "key_bucket").write.partitionBy("key_bucket").parquet(f"{stage}/merged")
+        # Rebalancing gives each partition as many files as its size needs, and no more.
+        (
+            merged.select(*self.schema.names, "key_bucket")
+            .hint("rebalance", "key_bucket")
+            .write.partitionBy("key_bucket")
+            .parquet(f"{stage}/merged")
+        )
         (
             self.spark.read.parquet(f"{stage}/merged")
-            .repartition("key_bucket", self._salt())
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("key_bucket")
             .parquet(self.path)
         )
 
-    def _salt(self):
-        return F.pmod(F.xxhash64("external_id"), F.lit(8))
-
 
 class AppendTable:
     """Rows that are only ever added: run log, quarantine, raw file manifest."""
