@@ -153,11 +153,11 @@ def split_overlap(rows: DataFrame, content: list[str], split: str = "split") ->
     )
 
 
-def split_metadata(rows: DataFrame, vectors: list[str], versions: dict[str, str]) -> DataFrame:
+def split_metadata(rows: DataFrame, dimension: Column, versions: dict[str, str]) -> DataFrame:
     """Sizes per split, feature dimension and label distribution, in one row."""
     by_label = rows.groupBy("label", "split").agg(
         F.count(F.lit(1)).alias("n"),
-        F.max(sum((F.size(v) for v in vectors), F.lit(0))).alias("dim"),
+        F.max(dimension).alias("dim"),
     )
     per_label = by_label.groupBy("label").agg(
         F.sum("n").alias("n"), F.max("dim").alias("dim"),

@@ -11,10 +11,10 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
-from pyspark.errors import AnalysisException
+from pyspark.sql.types import IntegerType, StructType
 
 from pairrank.operators.keyed import KEY, last_wins, merge_payload
 from pairrank.session import shared_dir
@@ -27,6 +27,16 @@ def _schema(spark: SparkSession, ddl: str) -> StructType:
     return spark.createDataFrame([], ddl).schema
 
 
+def _read_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Rows at the path; no rows only where the path does not exist yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 class KeyedTable:
     def __init__(self, spark: SparkSession, path: str, schema: str, payload: list[str], buckets: int = BUCKETS) -> None:
         self.spark = spark
@@ -36,11 +46,8 @@ class KeyedTable:
         self.buckets = buckets
 
     def _stored(self) -> DataFrame:
-        full = StructType(self.schema.fields).add("key_bucket", "int")
-        try:
-            return self.spark.read.schema(full).parquet(self.path)
-        except AnalysisException:
-            return self.spark.createDataFrame([], full)
+        full = StructType(self.schema.fields).add("key_bucket", IntegerType())
+        return _read_or_empty(self.spark, self.path, full)
 
     def read(self) -> DataFrame:
         return self._stored().select(*self.schema.names)
@@ -96,7 +103,4 @@ class AppendTable:
         rows.select(*self.schema.names).write.mode("append").parquet(self.path)
 
     def read(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(self.schema).parquet(self.path)
-        except AnalysisException:
-            return self.spark.createDataFrame([], self.schema)
+        return _read_or_empty(self.spark, self.path, self.schema)
