@@ -8,14 +8,17 @@ only. No window ever sees a whole split.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairrank.operators.topk import top_k_rows
+from pairrank.session import cut_lineage
 
 THRESHOLD = 0.5
 K_VALUES = (10, 50, 100)
-RANGES = 1024
+PER_RANGE = 100_000
+MAX_RANGES = 4096
 
 
 def threshold_class(probability, threshold: float = THRESHOLD) -> Column:
@@ -31,43 +34,42 @@ def score_groups(scored: DataFrame, split="split", score="score", label="label")
     )
 
 
-def _range_of(score: Column, bounds: Column, ranges: int) -> Column:
-    """Number of bounds below the score, by halving."""
-    steps = F.sequence(F.lit(1), F.lit(max(1, ranges).bit_length() + 1))
+def held_groups(scored: DataFrame, **names: str) -> DataFrame:
+    """Score groups, computed once and kept: scoring is usually the costly part."""
+    return cut_lineage(score_groups(scored, **names))
 
-    def halve(s: Column, _: Column) -> Column:
-        middle = ((s["lo"] + s["hi"]) / 2).cast("int")
-        right = F.get(bounds, middle) < score
-        going = s["lo"] < s["hi"]
-        return F.struct(
-            F.when(going & right, middle + 1).otherwise(s["lo"]).alias("lo"),
-            F.when(going & ~right, middle).otherwise(s["hi"]).alias("hi"),
-        )
 
-    start = F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi"))
-    return F.aggregate(steps, start, halve)["lo"]
+def _ranged(groups: DataFrame, per_range: int) -> DataFrame:
+    """Adds ``_range``: score ranges, in rising order, of about ``per_range`` groups each.
+
+    Bounds are quantiles of the distinct scores, so scores that cluster are cut as finely
+    as they lie. They only balance the work; any bounds give the same result.
+    """
+    ranges = min(MAX_RANGES, -(-groups.count() // per_range))
+    if ranges < 2:
+        return groups.withColumn("_range", F.lit(0.0))
+    wanted = [i / ranges for i in range(1, ranges)]
+    bounds = sorted(set(groups.approxQuantile("score", wanted, 1 / (4 * ranges))))
+    infinity = float("inf")
+    cutter = Bucketizer(splits=[-infinity, *bounds, infinity], inputCol="score", outputCol="_range")
+    return cutter.transform(groups)
 
 
-def running_counts(groups: DataFrame, ranges: int = RANGES) -> DataFrame:
+def running_counts(groups: DataFrame, per_range: int = PER_RANGE) -> DataFrame:
     """Adds cum_pos, cum_neg (this score and above) and the split's totals.
 
-    Range bounds are quantiles of the distinct scores, so ranges hold equal numbers of
-    groups however the scores cluster.
+    ``groups`` is read several times: pass it held (:func:`held_groups`).
     """
-    fractions = [i / ranges for i in range(1, ranges)]
-    bounds = groups.agg(F.percentile_approx("score", fractions, 10_000)).scalar()
-    ranged = groups.withColumn("_bounds", bounds).withColumn(
-        "_range", _range_of(F.col("score"), F.col("_bounds"), ranges)
-    ).drop("_bounds")
-    by_range = Window.partitionBy("split").orderBy(F.col("_range").desc())
+    ranged = _ranged(groups, per_range)
+    by_range = Window.partitionBy("_split").orderBy(F.col("_r").desc())
     above = by_range.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("split")
+    whole = Window.partitionBy("_split")
     totals = (
-        ranged.groupBy("split", "_range")
+        ranged.groupBy(F.col("split").alias("_split"), F.col("_range").alias("_r"))
         .agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
         .select(
-            "split",
-            "_range",
+            "_split",
+            "_r",
             F.coalesce(F.sum("p").over(above), F.lit(0)).alias("_pos_above"),
             F.coalesce(F.sum("n").over(above), F.lit(0)).alias("_neg_above"),
             F.sum("p").over(whole).alias("total_pos"),
@@ -79,7 +81,8 @@ def running_counts(groups: DataFrame, ranges: int = RANGES) -> DataFrame:
         .orderBy(F.col("score").desc())
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    return ranged.join(totals, ["split", "_range"]).select(
+    same = F.col("split").eqNullSafe(F.col("_split")) & (F.col("_range") == F.col("_r"))
+    return ranged.join(totals, same).select(
         "split", "score", "pos", "neg", "total_pos", "total_neg",
         (F.col("_pos_above") + F.sum("pos").over(inside)).alias("cum_pos"),
         (F.col("_neg_above") + F.sum("neg").over(inside)).alias("cum_neg"),
@@ -112,12 +115,15 @@ def classification(groups: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     )
 
 
-def curves(groups: DataFrame, ranges: int = RANGES) -> DataFrame:
-    """AUROC (ties count half) and average precision (step sum); null with one class."""
+def curves(groups: DataFrame, per_range: int = PER_RANGE) -> DataFrame:
+    """AUROC (ties count half) and average precision (step sum); null with one class.
+
+    ``groups`` is read several times: pass it held (:func:`held_groups`).
+    """
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     total_pos, total_neg = F.col("total_pos"), F.col("total_neg")
     below = total_neg - F.col("cum_neg")
-    sums = running_counts(groups, ranges).groupBy("split").agg(
+    sums = running_counts(groups, per_range).groupBy("split").agg(
         F.max("total_pos").alias("total_pos"),
         F.max("total_neg").alias("total_neg"),
         F.sum(pos * (below + neg / 2)).alias("won"),
@@ -168,7 +174,7 @@ def at_k(
 
 
 def compare(groups: DataFrame) -> DataFrame:
-    """One row per split: auroc, auprc, f1, accuracy, n_samples."""
+    """One row per split: auroc, auprc, f1, accuracy, n_samples. Pass held groups."""
     return (
         classification(groups)
         .join(curves(groups), "split")
@@ -179,7 +185,7 @@ def compare(groups: DataFrame) -> DataFrame:
 def evaluate(scored: DataFrame, k_values=K_VALUES, **names: str) -> DataFrame:
     """Whole report, one row per split, nested as threshold_free, threshold_based, ranking."""
     keyless = {k: v for k, v in names.items() if k != "key"}
-    groups = score_groups(scored, **keyless)
+    groups = held_groups(scored, **keyless)
     ranking = (
         at_k(scored, k_values, **names)
         .select(

@@ -56,14 +56,14 @@ def hash_order(key, seed: int) -> Column:
 
 def stratified_split(
     df: DataFrame, label: str = "label", key: str = "key", test_size: float = 0.15,
-    val_size: float = 0.15, seed: int = 42, group_key: str | None = None,
+    val_size: float = 0.15, seed: int = 42, group_key: str | Column | None = None,
 ) -> DataFrame:
     """Adds ``split``. ``key`` must be unique; the result depends on nothing else.
 
     ``group_key`` keeps rows of one group (say, one compound) in one split; sizes are then
     met in expectation only.
     """
-    if group_key:
+    if group_key is not None:
         return _grouped_split(df, group_key, test_size, val_size, seed)
     keyed = df.select(F.col(label).alias("_l"), hash_order(F.col(key), seed).alias("_h")).withColumn(
         "_p", F.substring("_h", 1, PREFIX_DIGITS)
@@ -117,8 +117,9 @@ def _cut_points(spark: SparkSession, keyed, prefixes, sizes: dict, label_type) -
     )
 
 
-def _grouped_split(df: DataFrame, group_key: str, test_size: float, val_size: float, seed: int) -> DataFrame:
-    head = F.conv(F.substring(hash_order(F.col(group_key), seed), 1, 8), 16, 10).cast("double")
+def _grouped_split(df: DataFrame, group_key: str | Column, test_size: float, val_size: float, seed: int) -> DataFrame:
+    group = F.col(group_key) if isinstance(group_key, str) else group_key
+    head = F.conv(F.substring(hash_order(group, seed), 1, 8), 16, 10).cast("double")
     share = head / float(1 << 32)
     return df.withColumn(
         "split",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,18 +36,32 @@ def shared_dir(spark: SparkSession) -> str:
     runs, tests) a temporary folder is made and kept for the rest of the session.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
-        current = tempfile.mkdtemp(prefix="pairrank-")
-        spark.sparkContext.setCheckpointDir(current)
-    return current
+        # MLlib checkpoints its boosting rounds below this folder.
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="pairrank-"))
+        current = spark.sparkContext.getCheckpointDir()
+    return named or current
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives lost executors, unlike a local one."""
+    """Writes the rows to a table in the shared folder and reads them back.
+
+    Lost executors cost a re-read, not a recomputation; and unlike an RDD checkpoint the
+    table is columnar, so later scans read only the columns they use.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(spark)}/held/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Spreads a small file scan over all cores before heavy per-row work.
+
+    A table of few row groups is read by few tasks. Such a table is small, so moving it is
+    cheap; a scan with enough tasks is returned as it is and never shuffled. Only for plain
+    scans: on other plans the task count is not known before they run.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < 2 * cores else scan

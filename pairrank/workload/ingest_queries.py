@@ -332,8 +332,7 @@ def interaction_ingest(spark, sf_dir):
         "l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
     )
     order = ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
-    rows = records.to_rows(items, "shop", "interaction", keep=order)
-    latest = keyed.last_wins(rows, order)
+    latest = records.to_rows(keyed.last_wins(items, order, ["external_id"]), "shop", "interaction")
 
     def parents(name, key, source):
         return table(spark, sf_dir, name).select(

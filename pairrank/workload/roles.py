@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pairrank.functions.keys import surrogate_id
 from pairrank.functions.text import qgram_bits
+from pairrank.session import spread
 
 N_BITS = 2048
 DIM = 320
@@ -80,8 +81,9 @@ def embedding_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
-        "source", F.col("doc_id").cast("string").alias("external_id"), "text"
+    """Texts for the featurisers, spread over the cores."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).withColumn(
+        "external_id", F.col("doc_id").cast("string")
     )
 
 

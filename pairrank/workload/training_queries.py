@@ -10,7 +10,7 @@ from pairrank.operators import aggregates, keyed, metrics
 from pairrank.operators.split import split_metadata, split_overlap, stratified_split
 from pairrank.operators.topk import Scorer, nearest
 from pairrank.plans.models import BoostedTrees
-from pairrank.session import cut_lineage, shared_dir
+from pairrank.session import cut_lineage, shared_dir, spread
 from pairrank.workload.feature_queries import bits_sql
 from pairrank.workload.registry import query
 from pairrank.workload.roles import (
@@ -212,7 +212,7 @@ def auroc_auprc(spark, sf_dir):
     scored = items.unionByName(labels.select("label", "score", F.lit("labels").alias("split"))).unionByName(
         labels.select(F.lit(1).alias("label"), "score", F.lit("one class").alias("split"))
     )
-    return _rounded(metrics.curves(metrics.score_groups(scored)), "auroc", "auprc")
+    return _rounded(metrics.curves(metrics.held_groups(scored)), "auroc", "auprc")
 
 
 @query(
@@ -238,7 +238,7 @@ def precision_recall_at_k(spark, sf_dir):
     """
 )
 def compare_splits(spark, sf_dir):
-    groups = metrics.score_groups(_split_labels(spark, sf_dir))
+    groups = metrics.held_groups(_split_labels(spark, sf_dir))
     return _rounded(metrics.compare(groups), "auroc", "auprc", "f1", "accuracy")
 
 
@@ -291,16 +291,14 @@ PAIR_BITS = 64
 SMALL_MODEL = {"maxIter": 3, "maxDepth": 3}
 
 
-def _pairs(spark, sf_dir):
-    keys = keyed.interaction_keys(interactions(spark, sf_dir), *interaction_parents(spark, sf_dir))
-    features = compound_features(spark, sf_dir, PAIR_BITS)
-    return keyed.merge_features(keys, features, protein_features(spark, sf_dir)).select(
-        F.col("external_id").alias("key"), "label", "fp", "emb"
-    )
-
-
 def _trained(spark, sf_dir):
-    rows = stratified_split(cut_lineage(_pairs(spark, sf_dir)))
+    """(model, split rows with both vectors)"""
+    compound = compound_features(spark, sf_dir, PAIR_BITS)
+    protein = protein_features(spark, sf_dir)
+    keys = keyed.interaction_keys(interactions(spark, sf_dir), *interaction_parents(spark, sf_dir))
+    narrow = keyed.with_features(keys.withColumnRenamed("external_id", "key"), compound, protein)
+    placed = stratified_split(spread(cut_lineage(narrow)))
+    rows = keyed.merge_features(placed, compound, protein).select("key", "label", "split", "fp", "emb")
     model = BoostedTrees(SMALL_MODEL, n_bits=PAIR_BITS)
     model.train(rows.filter(F.col("split") == "train"))
     return model, rows
