@@ -88,15 +88,17 @@ def stratified_split(
 
 
 def _cut_points(spark: SparkSession, keyed, prefixes, sizes: dict, label_type) -> DataFrame:
-    """Per label, the hash of its last test row and of its last val row ('' for none)."""
+    """Per label, the hash of its last test row and of its last val row ('' for none).
+
+    The result has one row per class and is fetched, so later passes need not find it again.
+    """
     wanted = [
         (label, name, seats)
         for label, (_, test, val) in sizes.items()
         for name, seats in (("_test_cut", test), ("_val_cut", test + val))
     ]
-    target = spark.createDataFrame(
-        wanted, f"_l {label_type.simpleString()}, _cut string, _seats long"
-    )
+    kind = label_type.simpleString()
+    target = spark.createDataFrame(wanted, f"_l {kind}, _cut string, _seats long")
     upto = Window.partitionBy("_l").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
     summed = prefixes.withColumn("_end", F.sum("_n").over(upto))
     hit = summed.join(F.broadcast(target), "_l").filter(
@@ -108,13 +110,9 @@ def _cut_points(spark: SparkSession, keyed, prefixes, sizes: dict, label_type) -
         .withColumn("_rn", F.row_number().over(order))
         .filter(F.col("_rn") == F.col("_place"))
     )
-    cut = lambda name: F.max(F.when(F.col("_cut") == name, F.col("_h")))
-    return (
-        target.select("_l").distinct().join(found, "_l", "left").groupBy("_l").agg(
-            F.coalesce(cut("_test_cut"), F.lit("")).alias("_test_cut"),
-            F.coalesce(cut("_val_cut"), F.lit("")).alias("_val_cut"),
-        )
-    )
+    at = {(r["_l"], r["_cut"]): r["_h"] for r in found.select("_l", "_cut", "_h").collect()}
+    rows = [(label, at.get((label, "_test_cut"), ""), at.get((label, "_val_cut"), "")) for label in sizes]
+    return spark.createDataFrame(rows, f"_l {kind}, _test_cut string, _val_cut string")
 
 
 def _grouped_split(df: DataFrame, group_key: str | Column, test_size: float, val_size: float, seed: int) -> DataFrame:

@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 MAX_K = 500
 SCORE_DIGITS = 6
 MAX_BROADCAST_BYTES = 64 << 20
-QUERY_BLOCK = 2048
+QUERY_BLOCK = 8192
 CANDIDATE_BLOCK = 16384
+PIECE_CELLS = 4_000_000
 METRICS = ("dot", "cosine", "binary_cosine")
 
 
@@ -110,33 +111,33 @@ class Scorer:
         return _scatter(column, self.n_bits) if self.n_bits else _dense(column, None)
 
     def score(self, queries: np.ndarray, column: pa.Array) -> np.ndarray:
+        """One row per query, one column per candidate."""
         if self.pair_model is not None:
             return self.pair_model.score_pairs(queries, _dense(column, None))
         if self.metric == "binary_cosine":
             candidates = _scatter(column, self.n_bits)
         else:
             candidates = _dense(column, queries.shape[1] if len(queries) else None)
-        product = (candidates @ queries.T).astype(np.float64)
+        product = (queries @ candidates.T).astype(np.float64)
         if self.metric == "dot":
             return product
-        return product / (_norms(candidates)[:, None] * _norms(queries)[None, :])
+        return product / (_norms(queries)[:, None] * _norms(candidates)[None, :])
 
 
 def _pick(scores: np.ndarray, ks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(candidate, query) indexes of the k best per query; ties go to the earlier row."""
-    rows, cols = [], []
-    for q, k in enumerate(ks.tolist()):
-        column = scores[:, q]
-        if k < len(column):
-            cut = np.partition(column, len(column) - k)[len(column) - k]
-            above = np.flatnonzero(column > cut)
-            level = np.flatnonzero(column == cut)[: k - len(above)]
-            picked = np.concatenate([above, level])
-        else:
-            picked = np.arange(len(column))
-        rows.append(picked)
-        cols.append(np.full(len(picked), q))
-    return np.concatenate(rows), np.concatenate(cols)
+    """(query, candidate) indexes of the k best per query row; ties go to the earlier candidate."""
+    n = scores.shape[1]
+    if n <= ks.min(initial=n):
+        return tuple(np.indices(scores.shape).reshape(2, -1))
+    kept = np.ones(scores.shape, dtype=bool)
+    for k in np.unique(ks[ks < n]).tolist():
+        rows = np.flatnonzero(ks == k)
+        part = scores[rows]
+        cut = np.partition(part, n - k, axis=1)[:, n - k, None]
+        above, level = part > cut, part == cut
+        room = k - above.sum(axis=1, keepdims=True)
+        kept[rows] = above | (level & (np.cumsum(level, axis=1, dtype=np.int32) <= room))
+    return np.nonzero(kept)
 
 
 @dataclass
@@ -175,8 +176,7 @@ def _best(tables: list[pa.Table], ks: np.ndarray) -> pa.Table:
 def _rank_batches(batches: Iterator[pa.RecordBatch], block: _Block, scorer: Scorer) -> pa.Table | None:
     """Running top-k of a stream of candidate batches."""
     best = None
-    width = max(block.matrix.shape[1] if block.matrix.ndim == 2 else 1, len(block.ids), 1)
-    step = max(64, 4_000_000 // width)
+    step = max(256, PIECE_CELLS // max(block.matrix.shape[1], len(block.ids), 1))
     for batch in batches:
         ordered = pa.Table.from_batches([batch]).sort_by(
             [("source", "ascending"), ("external_id", "ascending")]
@@ -184,10 +184,10 @@ def _rank_batches(batches: Iterator[pa.RecordBatch], block: _Block, scorer: Scor
         for start in range(0, len(ordered), step):
             piece = ordered.slice(start, step).combine_chunks()
             scores = _round(scorer.score(block.matrix, _array(piece["vector"])))
-            rows, cols = _pick(scores, block.ks)
-            found = piece.select(["source", "external_id"]).take(pa.array(rows))
-            found = found.append_column("_q", pa.array(cols, pa.int64()))
-            found = found.append_column("score", pa.array(scores[rows, cols]))
+            asked, places = _pick(scores, block.ks)
+            found = piece.select(["source", "external_id"]).take(pa.array(places))
+            found = found.append_column("_q", pa.array(asked, pa.int64()))
+            found = found.append_column("score", pa.array(scores[asked, places]))
             best = _best([found] if best is None else [best, found], block.ks)
     return best
 
@@ -274,7 +274,9 @@ def _against_broadcast(few: pa.Table, candidates: DataFrame, scorer: Scorer, sch
         if best is not None:
             yield from _emit(best, asked).to_batches()
 
-    return candidates.mapInArrow(rank, schema)
+    # Every task sends k rows per query, so fewer, longer tasks shuffle less.
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    return candidates.coalesce(tasks).mapInArrow(rank, schema)
 
 
 def _against_blocks(

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import time
 from abc import ABC, abstractmethod
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 import pyspark
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -84,6 +86,50 @@ class KmerEmbedding(Featurizer):
         }
 
 
+class ModelEmbedding(Featurizer):
+    """Plug-in for a sequence model: ``load`` runs once per task, ``embed`` once per batch.
+
+    ``embed(model, texts)`` returns one vector per text, for instance the masked mean of
+    its token vectors. Texts are cut to ``max_length`` letters, the model's own limit.
+    """
+
+    text = "sequence"
+
+    def __init__(
+        self, name: str, dim: int, load: Callable[[], object],
+        embed: Callable[[object, list[str]], Iterable[Iterable[float]]], batch_size: int = 8, max_length: int = 1024,
+    ) -> None:
+        self.name, self.dim = name, dim
+        self.load, self.embed = load, embed
+        self.batch_size, self.max_length = batch_size, max_length
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        load, embed, size, dim = self.load, self.embed, self.batch_size, self.dim
+
+        @F.arrow_udf("array<double>")
+        def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            model = load()
+            for batch in batches:
+                texts = batch.to_pylist()
+                rows = [
+                    [float(x) for x in vector]
+                    for start in range(0, len(texts), size)
+                    for vector in embed(model, texts[start:start + size])
+                ]
+                if len(rows) != len(texts) or any(len(row) != dim for row in rows):
+                    raise ValueError(f"the model must give {dim} numbers for each of {len(texts)} texts")
+                yield pa.array(rows, pa.list_(pa.float64()))
+
+        cut = truncate(F.col(self.text), self.max_length)
+        return df.select("external_id", "source", vectors(cut).alias("vector"))
+
+    def feature_manifest(self) -> dict:
+        return {
+            "type": self.name, "dim": self.dim, "pooling": "mean",
+            "max_seq_length": self.max_length, "generated_at": utc_now(),
+        }
+
+
 class Featurization:
     """Featurises both entity tables into the store.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pairrank.functions.keys import artifact_key, content_sha
 
-INLINE_BYTES = 256 << 20
+INLINE_BYTES = 32 << 20
 BLOCK_BYTES = 8 << 20
 
 

@@ -46,7 +46,7 @@ def sdf_columns(record: Column, external_id_prop: str = "_Name", smiles_prop: st
     ``_Name`` is the record's first line; other names are properties. A record without a
     connection table end has a null smiles and counts as unreadable.
     """
-    text = F.regexp_replace(record, "\r", "")
+    text = F.regexp_replace(record, r"\r|\$\$\$\$\s*$", "")
     item = r"(?m)^>[^\n<]*<([^>\n]+)>[^\n]*\n((?:(?!>[^\n<]*<)[^\n]+(?:\n|$))*)"
     names = F.regexp_extract_all(text, F.lit(item), F.lit(1))
     values = F.transform(F.regexp_extract_all(text, F.lit(item), F.lit(2)), lambda v: F.rtrim(v, F.lit("\n")))

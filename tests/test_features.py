@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pairrank.functions import text, vectors
 from pairrank.operators.aggregates import histogram, mean_pool
-from pairrank.plans.featurize import Featurization, Featurizer, KmerEmbedding, QGramFingerprint
+from pairrank.plans.featurize import Featurization, Featurizer, KmerEmbedding, ModelEmbedding, QGramFingerprint
 from pairrank.sources.feature_store import FeatureStore
 
 ASPIRIN, CAFFEINE, ETHANOL = "CC(=O)Oc1ccccc1C(=O)O", "CN1C=NC2=C1C(=O)N(C(=O)N2C)C", "CCO"
@@ -142,6 +142,22 @@ def test_own_featurizer_plugs_in(spark, root, compounds, proteins):
     assert [r["vector"] for r in store.load("protein", "letters_v2").collect()] == [[54.0], [54.0]]
 
 
+def test_model_plug_in_loads_once_per_task(spark, proteins):
+    def load():
+        return {"calls": 0}
+
+    def embed(model, texts):
+        model["calls"] += 1
+        return [[len(t), model["calls"]] for t in texts]
+
+    rows = spark.createDataFrame([(str(i), "u", "M" * (i + 1)) for i in range(20)], proteins.schema).coalesce(1)
+    got = ModelEmbedding("letters", 2, load, embed, batch_size=8, max_length=15).transform(rows).collect()
+    assert [r["vector"] for r in got] == [[min(i + 1, 15), i // 8 + 1] for i in range(20)]
+    bad = ModelEmbedding("letters", 3, load, embed)
+    with pytest.raises(Exception, match="3 numbers"):
+        bad.transform(rows).collect()
+
+
 def test_vector_expressions(spark):
     df = spark.createDataFrame(
         [([1.0, 0.0], [1.0, 0.0]), ([1.0, 0.0], [0.0, 1.0]), ([0.0, 0.0], [1.0, 1.0]), ([1.0, 1.0], [0.0, 0.0])],
