@@ -40,38 +40,54 @@ def _records(spark: SparkSession, path, separator: str, partitions: int | None)
 # ---------------------------------------------------------------------------------- SDF
 
 
-def sdf_columns(record: Column, external_id_prop: str = "_Name", smiles_prop: str = "SMILES") -> list[Column]:
-    """external_id, smiles, props of one SDF record.
+ITEM_HEADER = r"(?m)^>[^\n<]*<"
 
-    ``_Name`` is the record's first line; other names are properties. A record without a
-    connection table end has a null smiles and counts as unreadable.
-    """
-    text = F.regexp_replace(record, r"\r|\$\$\$\$\s*$", "")
-    item = r"(?m)^>[^\n<]*<([^>\n]+)>[^\n]*\n((?:(?!>[^\n<]*<)[^\n]+(?:\n|$))*)"
-    names = F.regexp_extract_all(text, F.lit(item), F.lit(1))
-    values = F.transform(F.regexp_extract_all(text, F.lit(item), F.lit(2)), lambda v: F.rtrim(v, F.lit("\n")))
-    # A property given twice keeps its last value.
-    pairs = F.arrays_zip(names.alias("n"), values.alias("v"))
+
+def _sdf_items(text: Column) -> Column:
+    """(name, value) of each data item: header line, value lines up to a blank one."""
+
+    def item(part: Column) -> Column:
+        rest = F.substring(part, F.locate("\n", part) + 1, F.length(part))
+        value = F.rtrim(F.substring_index(rest, "\n\n", 1), F.lit("\n"))
+        return F.struct(
+            F.substring_index(part, ">", 1).alias("name"),
+            F.when(rest.startswith("\n"), "").otherwise(value).alias("value"),
+        )
+
+    parts = F.split(text, ITEM_HEADER)
+    return F.transform(F.slice(parts, 2, F.size(parts)), item)
+
+
+def _sdf_props(items: Column) -> Column:
+    """Items as a map; a property given twice keeps its last value."""
+    names = F.transform(items, lambda item: item["name"])
     last = F.filter(
-        pairs,
-        lambda p, i: ~F.exists(F.slice(names, i + 2, F.size(names)), lambda later: later == p["n"]),
+        items,
+        lambda item, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), item["name"]),
     )
-    props = F.map_from_entries(last)
-    name = F.trim(F.substring_index(text, "\n", 1))
-    key = F.nullif(name, F.lit("")) if external_id_prop == "_Name" else F.try_element_at(props, F.lit(external_id_prop))
-    readable = text.contains("M  END")
-    return [
-        key.alias("external_id"),
-        F.when(readable, F.try_element_at(props, F.lit(smiles_prop))).alias("smiles"),
-        F.map_filter(props, lambda k, _: k != smiles_prop).alias("props"),
-    ]
+    unique = F.size(F.array_distinct(names)) == F.size(names)
+    return F.map_from_entries(F.when(unique, items).otherwise(last))
+
 
+def parse_sdf(records: DataFrame, text: str = "value", external_id_prop: str = "_Name", smiles_prop: str = "SMILES") -> DataFrame:
+    """external_id, smiles, props of each readable molecule, beside the other columns.
 
-def parse_sdf(records: DataFrame, text: str = "value", **options: str) -> DataFrame:
-    """Compound records; unreadable molecules are skipped."""
-    kept = [c for c in records.columns if c != text]
-    filled = records.filter(F.trim(F.regexp_replace(F.col(text), r"\s", "")) != "")
-    return filled.select(*sdf_columns(F.col(text), **options), *kept).filter(F.col("smiles").isNotNull())
+    ``_Name`` is the record's first line; other names are properties. Records without the
+    end of a connection table or without the structure property are skipped.
+    """
+    kept = [F.col(c) for c in records.columns if c != text]
+    readable = F.col(text).contains("M  END") & F.col(text).rlike(f"{ITEM_HEADER}\\Q{smiles_prop}\\E>")
+    cleaned = records.filter(readable).withColumn(text, F.regexp_replace(text, r"\r|\$\$\$\$\s*$", ""))
+    items = cleaned.withColumn("_items", _sdf_items(F.col(text)))
+    props = items.withColumn("_props", _sdf_props(F.col("_items")))
+    name = F.nullif(F.trim(F.substring_index(text, "\n", 1)), F.lit(""))
+    key = name if external_id_prop == "_Name" else F.try_element_at("_props", F.lit(external_id_prop))
+    return props.select(
+        key.alias("external_id"),
+        F.col("_props")[smiles_prop].alias("smiles"),
+        F.map_filter("_props", lambda k, _: k != smiles_prop).alias("props"),
+        *kept,
+    )
 
 
 def read_sdf(
@@ -85,21 +101,19 @@ def read_sdf(
 # -------------------------------------------------------------------------------- FASTA
 
 
-def fasta_columns(record: Column) -> list[Column]:
-    """external_id (header up to the first blank), description (header), sequence."""
-    text = F.regexp_replace(record, "\r", "")
-    header = F.regexp_replace(F.substring_index(text, "\n", 1), "^>", "")
-    body = F.when(F.locate("\n", text) > 0, F.substring(text, F.locate("\n", text) + 1, F.length(text)))
-    return [
-        F.regexp_extract(header, r"^(\S*)", 1).alias("external_id"),
-        header.alias("description"),
-        F.coalesce(F.regexp_replace(body, r"\s", ""), F.lit("")).alias("sequence"),
-    ]
-
-
 def parse_fasta(records: DataFrame, text: str = "value") -> DataFrame:
-    kept = [c for c in records.columns if c != text]
-    return records.filter(F.trim(F.col(text)) != "").select(*fasta_columns(F.col(text)), *kept)
+    """external_id (header up to the first blank), description (header), sequence."""
+    kept = [F.col(c) for c in records.columns if c != text]
+    filled = records.filter(F.trim(F.col(text)) != "")
+    end = F.locate("\n", F.col(text))
+    header = F.when(end > 0, F.substring(text, F.lit(1), end - 1)).otherwise(F.col(text))
+    body = F.when(end > 0, F.substring(text, end + 1, F.length(text))).otherwise("")
+    parts = filled.select(
+        F.regexp_replace(header, "^>|\r", "").alias("description"),
+        F.regexp_replace(body, r"\s", "").alias("sequence"), *kept,
+    )
+    key = F.regexp_extract("description", r"^(\S*)", 1).alias("external_id")
+    return parts.select(key, "description", "sequence", *kept)
 
 
 def read_fasta(spark: SparkSession, path, partitions: int | None = None) -> DataFrame:
