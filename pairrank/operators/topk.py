@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 MAX_K = 500
 SCORE_DIGITS = 6
+ROUND_GUARD = 1e-6
 MAX_BROADCAST_BYTES = 64 << 20
 QUERY_BLOCK = 8192
 CANDIDATE_BLOCK = 16384
@@ -84,9 +85,13 @@ def _norms(matrix: np.ndarray) -> np.ndarray:
 
 
 def _round(scores: np.ndarray) -> np.ndarray:
-    """Half away from zero, as SQL rounds."""
+    """Six digits, half away from zero.
+
+    Scores are first moved outward by a millionth of the last digit, so that the order in
+    which a product was summed (batch shape, block size) cannot decide how a half rounds.
+    """
     unit = 10.0**SCORE_DIGITS
-    return np.sign(scores) * np.floor(np.abs(scores) * unit + 0.5) / unit
+    return np.sign(scores) * np.floor(np.abs(scores) * unit + 0.5 + ROUND_GUARD) / unit
 
 
 @dataclass

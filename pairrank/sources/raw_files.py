@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,6 +34,11 @@ def _stream(source, sink=None) -> str:
     return digest.hexdigest()
 
 
+def _filesystem(uri: str) -> tuple[fs.FileSystem, str]:
+    """Filesystem and path of a URI as Spark writes it."""
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+
+
 def hash_files(spark: SparkSession, path) -> DataFrame:
     """path, bytes, filename, sha256.
 
@@ -50,7 +56,7 @@ def hash_files(spark: SparkSession, path) -> DataFrame:
         for batch in batches:
             shas = []
             for name in batch.column("path").to_pylist():
-                system, inner = fs.FileSystem.from_uri(name)
+                system, inner = _filesystem(name)
                 with system.open_input_stream(inner, compression=None) as stream:
                     shas.append(_stream(stream))
             yield batch.append_column("sha256", pa.array(shas))
@@ -62,7 +68,8 @@ def hash_files(spark: SparkSession, path) -> DataFrame:
 def store_raw(hashed: DataFrame, source: str, version: str, root: str) -> DataFrame:
     """Copies hashed files under their content address; returns the ``raw_files`` rows.
 
-    A retried task writes the same bytes to the same place, so the copy is repeat-safe.
+    A copy appears under its address only when it is complete, and a retried task moves
+    the same bytes to the same place.
     """
     keyed = hashed.select(
         F.lit(source).alias("source"), F.lit(version).alias("version"), "sha256", "bytes", "path",
@@ -70,17 +77,22 @@ def store_raw(hashed: DataFrame, source: str, version: str, root: str) -> DataFr
     )
 
     def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target, base = fs.FileSystem.from_uri(root)
+        target, base = _filesystem(root)
         for batch in batches:
             for name, key, sha in zip(
                 batch.column("path").to_pylist(), batch.column("key").to_pylist(), batch.column("sha256").to_pylist()
             ):
                 place = f"{base}/{key}"
                 target.create_dir(place.rsplit("/", 1)[0], recursive=True)
-                origin, inner = fs.FileSystem.from_uri(name)
-                with origin.open_input_stream(inner, compression=None) as stream, target.open_output_stream(place, compression=None) as sink:
-                    if _stream(stream, sink) != sha:
-                        raise ValueError(f"{name} changed while it was being stored")
+                part = f"{place}.{uuid.uuid4().hex}.part"
+                origin, inner = _filesystem(name)
+                with origin.open_input_stream(inner, compression=None) as stream:
+                    with target.open_output_stream(part, compression=None) as sink:
+                        copied = _stream(stream, sink)
+                if copied != sha:
+                    target.delete_file(part)
+                    raise ValueError(f"{name} changed while it was being stored")
+                target.move(part, place)
             yield batch
 
     return keyed.repartition("path").mapInArrow(copy, keyed.schema)

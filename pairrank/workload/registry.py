@@ -10,13 +10,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Registers a function under its own name."""
+def query(sql: str | None = None, name: str | None = None):
+    """Registers a function under its own name, or under ``name``."""
 
     def add(function):
-        QUERIES[function.__name__] = function
+        key = name or function.__name__
+        QUERIES[key] = function
         if sql:
-            ORACLE[function.__name__] = sql
+            ORACLE[key] = sql
         return function
 
     return add

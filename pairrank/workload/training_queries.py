@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -126,8 +127,8 @@ def feature_coverage(spark, sf_dir):
     return keyed.coverage(interactions(spark, sf_dir), features, ["compound_id"])
 
 
-@query(f"WITH {SPLIT} SELECT key, label, split FROM split")
-def stratified_split_labels(spark, sf_dir):
+@query(f"WITH {SPLIT} SELECT key, label, split FROM split", name="stratified_split")
+def stratified_split_query(spark, sf_dir):
     return _split_labels(spark, sf_dir).select("key", "label", "split")
 
 
@@ -140,9 +141,10 @@ def stratified_split_labels(spark, sf_dir):
            SUM(CASE WHEN label = 0 THEN n END)::BIGINT AS n_label_0, SUM(CASE WHEN label = 1 THEN n END)::BIGINT AS n_label_1,
            64::BIGINT AS feature_dim, 'qgram_v1' AS compound_feature_version, 'kmer_v1' AS protein_feature_version
     FROM b
-    """
+    """,
+    name="split_metadata",
 )
-def split_sizes_metadata(spark, sf_dir):
+def split_metadata_query(spark, sf_dir):
     rows = _split_labels(spark, sf_dir)
     width = table(spark, sf_dir, "embeddings").agg(F.max(F.size("embedding"))).scalar()
     versions = {"compound_feature_version": "qgram_v1", "protein_feature_version": "kmer_v1"}
@@ -161,9 +163,10 @@ def split_sizes_metadata(spark, sf_dir):
     SELECT a AS split_a, b AS split_b,
            (SELECT COUNT(*) FROM (SELECT content FROM t WHERE split = a INTERSECT SELECT content FROM t WHERE split = b))::BIGINT AS overlap
     FROM (VALUES ('train', 'val'), ('train', 'test'), ('val', 'test')) p(a, b)
-    """
+    """,
+    name="split_overlap",
 )
-def split_overlap_by_text(spark, sf_dir):
+def split_overlap_query(spark, sf_dir):
     """Texts that two splits share: exact copies may fall on both sides of a row-wise split."""
     text = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.md5("text").alias("content"))
     return split_overlap(_split_labels(spark, sf_dir).join(text, "key"), ["content"])
@@ -270,6 +273,22 @@ def records_by_source(spark, sf_dir):
     return aggregates.records_by_source(log)
 
 
+@query(
+    """
+    SELECT event_type AS source, CASE WHEN value < 10 THEN 'sdf' ELSE 'fasta' END AS format,
+           SUM(CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) > 90 THEN 1 ELSE 0 END)::BIGINT AS errors
+    FROM events GROUP BY 1, 2
+    """
+)
+def parse_errors(spark, sf_dir):
+    lost = F.get_json_object("props", "$.k").cast("bigint") > 90
+    log = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("source"), F.when(F.col("value") < 10, "sdf").otherwise("fasta").alias("format"),
+        lost.cast("int").alias("rows_rejected"),
+    )
+    return aggregates.parse_errors(log)
+
+
 @query(
     """
     WITH le AS (SELECT * FROM (VALUES ('0.1', 0.1), ('0.5', 0.5), ('1', 1), ('5', 5), ('10', 10), ('30', 30), ('60', 60),
@@ -316,7 +335,7 @@ def train_predict(spark, sf_dir):
 def rank_learned(spark, sf_dir):
     """Ten best proteins for each distinct compound structure, by the trained model."""
     model, _ = _trained(spark, sf_dir)
-    path = f"{shared_dir(spark)}/models/rank_learned"
+    path = f"{shared_dir(spark)}/models/{uuid.uuid4().hex}"
     model.save(path)
     scorer = Scorer(n_bits=PAIR_BITS, pair_model=model.trees(spark, path))
     queries = compound_features(spark, sf_dir, PAIR_BITS).select(

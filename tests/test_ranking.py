@@ -53,7 +53,7 @@ def brute_force(queries, stored, k):
         scored = []
         for source, key, c in stored:
             score = float(np.dot(q, c)) / ((np.linalg.norm(q) or 1.0) * (np.linalg.norm(c) or 1.0))
-            score = math.copysign(math.floor(abs(score) * 1e6 + 0.5) / 1e6, score)
+            score = math.copysign(math.floor(abs(score) * 1e6 + 0.5 + 1e-6) / 1e6, score)
             scored.append((-score, source, key))
         out[qid] = [(i + 1, key, source, -s) for i, (s, source, key) in enumerate(sorted(scored)[:k])]
     return out
