@@ -54,12 +54,8 @@ def mean_pool(positions: DataFrame, by: list[str], vector: str, mask: str, outpu
     """Mean of the position vectors whose mask is set, per group.
 
     Whole vectors are summed map-side, so neither a long group nor a wide vector is
-    exploded. A group with no position left has a null vector.
+    exploded. A group without a single position left has no mean and no row.
     """
-    kept = positions.select(
-        *by, F.when(F.col(mask) == 1, to_ml_vector(F.col(vector))).alias("_v"),
-    )
-    pooled = kept.filter(F.col("_v").isNotNull()).groupBy(*by).agg(Summarizer.mean(F.col("_v")).alias("_m"))
-    pooled = pooled.select(*by, from_ml_vector("_m").alias(output))
-    groups = positions.select(*by).distinct()
-    return groups.join(pooled, by, "left")
+    kept = positions.filter(F.col(mask) == 1).select(*by, to_ml_vector(F.col(vector)).alias("_v"))
+    pooled = kept.groupBy(*by).agg(Summarizer.mean(F.col("_v")).alias("_m"))
+    return pooled.select(*by, from_ml_vector("_m").alias(output))

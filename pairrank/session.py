@@ -30,18 +30,19 @@ def get_session(app: str = "pairrank", master: str | None = None, **conf: str) -
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints and staged tables that every executor can reach.
+    """Folder for checkpoints and held tables that every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (local
-    runs, tests) a temporary folder is made and kept for the rest of the session.
+    The cluster names it in ``spark.checkpoint.dir``. Only a local session that names none
+    (tests) gets a temporary folder, kept for the rest of the session.
     """
+    context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
+    if context.getCheckpointDir() is None:
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         # MLlib checkpoints its boosting rounds below this folder.
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="pairrank-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return named or current
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="pairrank-"))
+    return named or context.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
