@@ -68,15 +68,19 @@ def stratified_split(
     keyed = df.select(F.col(label).alias("_l"), hash_order(F.col(key), seed).alias("_h")).withColumn(
         "_p", F.substring("_h", 1, PREFIX_DIGITS)
     )
-    prefixes = keyed.groupBy("_l", "_p").agg(F.count(F.lit(1)).alias("_n"))
-    # One row per class; the classes of a binary classifier are 0 and 1.
-    class_rows = prefixes.groupBy("_l").agg(F.sum("_n").alias("n")).limit(1001).collect()
-    if len(class_rows) > 1000:
-        raise ValueError("more than 1000 classes: is this a class column?")
-    if not class_rows:
-        return df.withColumn("split", F.lit(None).cast("string"))
-    sizes = split_sizes({r["_l"]: r["n"] for r in class_rows}, test_size, val_size)
-    cuts = _cut_points(df.sparkSession, keyed, prefixes, sizes, df.schema[label].dataType)
+    # At most 65,536 rows per class, used twice.
+    prefixes = keyed.groupBy("_l", "_p").agg(F.count(F.lit(1)).alias("_n")).persist()
+    try:
+        # One row per class; the classes of a binary classifier are 0 and 1.
+        class_rows = prefixes.groupBy("_l").agg(F.sum("_n").alias("n")).limit(1001).collect()
+        if len(class_rows) > 1000:
+            raise ValueError("more than 1000 classes: is this a class column?")
+        if not class_rows:
+            return df.withColumn("split", F.lit(None).cast("string"))
+        sizes = split_sizes({r["_l"]: r["n"] for r in class_rows}, test_size, val_size)
+        cuts = _cut_points(df.sparkSession, keyed, prefixes, sizes, df.schema[label].dataType)
+    finally:
+        prefixes.unpersist()
     rows = df.withColumn("_h", hash_order(F.col(key), seed))
     placed = rows.join(F.broadcast(cuts), F.col(label).eqNullSafe(F.col("_l")))
     split = (
