@@ -17,7 +17,7 @@ from pairrank.session import cut_lineage
 
 THRESHOLD = 0.5
 K_VALUES = (10, 50, 100)
-PER_RANGE = 100_000
+PER_RANGE = 25_000
 MAX_RANGES = 4096
 
 

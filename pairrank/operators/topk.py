@@ -91,7 +91,7 @@ def _round(scores: np.ndarray) -> np.ndarray:
     which a product was summed (batch shape, block size) cannot decide how a half rounds.
     """
     unit = 10.0**SCORE_DIGITS
-    return np.sign(scores) * np.floor(np.abs(scores) * unit + 0.5 + ROUND_GUARD) / unit
+    return np.sign(scores) * np.floor(np.abs(scores) * unit + 0.5 + ROUND_GUARD) / unit + 0.0
 
 
 @dataclass

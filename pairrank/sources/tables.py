@@ -14,7 +14,7 @@ import uuid
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from pairrank.operators.keyed import KEY, last_wins, merge_payload
 from pairrank.session import shared_dir
@@ -46,7 +46,7 @@ class KeyedTable:
         self.buckets = buckets
 
     def _stored(self) -> DataFrame:
-        full = StructType(self.schema.fields).add("key_bucket", IntegerType())
+        full = StructType([*self.schema.fields, StructField("key_bucket", IntegerType())])
         return _read_or_empty(self.spark, self.path, full)
 
     def read(self) -> DataFrame:

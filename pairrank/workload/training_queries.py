@@ -97,8 +97,8 @@ def interactions_resolved(spark, sf_dir):
     fp AS (SELECT p_partkey, string_agg(CAST(bit AS VARCHAR), ',' ORDER BY bit) AS bits FROM b GROUP BY p_partkey)
     SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS external_id,
            CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label,
-           coalesce(fp.bits, '') AS on_bits, ROUND(CAST(e.embedding[1] AS DOUBLE), 6) AS emb_first,
-           ROUND(CAST(e.embedding[64] AS DOUBLE), 6) AS emb_last, {N_BITS + 64}::BIGINT AS feature_dim
+           coalesce(fp.bits, '') AS on_bits, ROUND(CAST(e.embedding[1] AS DOUBLE), 6) + 0 AS emb_first,
+           ROUND(CAST(e.embedding[64] AS DOUBLE), 6) + 0 AS emb_last, {N_BITS + 64}::BIGINT AS feature_dim
     FROM lineitem JOIN c ON l_partkey = c.p_partkey LEFT JOIN fp ON fp.p_partkey = c.p_partkey
     JOIN supplier ON l_suppkey = s_suppkey JOIN embeddings e ON e.vec_id = s_suppkey
     """

@@ -1,6 +1,5 @@
 import gzip
 import os
-from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -210,3 +209,105 @@ def test_upsert_touches_only_its_partitions(spark, tmp_path, root):
     assert len({p.parent for p in kept}) == 7
     got = {r["external_id"]: (r["id"], r["sequence"]) for r in table.read().collect()}
     assert len(got) == 200 and got["7"] == ("id7", "NEW") and got["8"] == ("id8", "AAA")
+
+
+def test_replayed_batch_after_a_failure(spark, tmp_path, root, monkeypatch):
+    ingestion = Ingestion(spark, f"{root}/db", buckets=4)
+    inbox = tmp_path / "inbox"
+    write(inbox / "a.sdf", ASPIRIN + MOLECULE.format(name="ETHANOL", smiles="CCO", key="CHEMBL545"))
+    source = Source("stream", str(inbox), "SDF", "compound")
+    good = Ingestion.load
+
+    def broken(*_):
+        raise OSError("disk gone")
+
+    monkeypatch.setattr(Ingestion, "load", broken)
+    with pytest.raises(Exception, match="disk gone"):
+        ingest_stream(ingestion, "stream", source, f"{root}/checkpoint").awaitTermination(120)
+    failed = ingestion.runs().first()
+    assert (failed["status"], failed["batch_id"]) == ("FAILED", 0) and "disk gone" in failed["error"]
+    assert ingestion.tables["compound"].read().count() == 0
+
+    monkeypatch.setattr(Ingestion, "load", good)
+    assert ingest_stream(ingestion, "stream", source, f"{root}/checkpoint").awaitTermination(120)
+    assert {r["external_id"] for r in ingestion.tables["compound"].read().collect()} == {"ASPIRIN", "ETHANOL"}
+    assert [r["status"] for r in ingestion.runs().collect()] == ["COMPLETED"]
+
+    # The engine may run a completed batch again; then nothing is loaded twice.
+    monkeypatch.setattr(Ingestion, "load", broken)
+    (tmp_path / "checkpoint/commits/0").unlink()
+    for leftover in (tmp_path / "checkpoint/commits").glob(".0*.crc"):
+        leftover.unlink()
+    assert ingest_stream(ingestion, "stream", source, f"{root}/checkpoint").awaitTermination(120)
+
+
+def test_csv_stream_needs_a_schema_and_keeps_order(spark, tmp_path, root):
+    ingestion = Ingestion(spark, f"{root}/db", buckets=4)
+    source = Source("csvs", str(tmp_path / "inbox"), "csv", "protein")
+    with pytest.raises(ValueError, match="schema"):
+        ingest_stream(ingestion, "csvs", source, f"{root}/checkpoint")
+    write(tmp_path / "inbox/a.csv", "external_id,sequence\nP1,AAA\nP1,CCC\n,GGG\n")
+    query = ingest_stream(ingestion, "csvs", source, f"{root}/checkpoint", schema="external_id string, sequence string")
+    assert query.awaitTermination(120)
+    assert [(r["external_id"], r["sequence"]) for r in ingestion.tables["protein"].read().collect()] == [("P1", "CCC")]
+    assert ingestion.rejected.read().count() == 1
+
+
+def test_many_records_over_many_splits(spark, tmp_path):
+    """A file cut into small splits gives every record once, in its own order."""
+    molecules = "".join(MOLECULE.format(name=f"M{i}", smiles="C" * (i % 40 + 1), key=f"K{i}") for i in range(3000))
+    sequences = "".join(f">P{i} number {i}\n" + "ACDEFGHIKL" * (i % 9) + "\nM\n" for i in range(3000))
+    sdf, fasta = write(tmp_path / "many.sdf", molecules), write(tmp_path / "many.fasta", sequences)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        found = read_sdf(spark, sdf)
+        assert found.rdd.getNumPartitions() > 10
+        got = {r["external_id"]: (r["smiles"], r["props"]["chembl_id"]) for r in found.collect()}
+        assert got == {f"M{i}": ("C" * (i % 40 + 1), f"K{i}") for i in range(3000)}
+        rows = read_fasta(spark, fasta).orderBy("_file", "_block", "_place").collect()
+        assert [r["external_id"] for r in rows] == [f"P{i}" for i in range(3000)]
+        assert all(r["sequence"] == "ACDEFGHIKL" * (i % 9) + "M" for i, r in enumerate(rows))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_last_wins_with_a_hot_key(spark):
+    from pairrank.operators.keyed import last_wins
+
+    rows = spark.range(0, 30_000, 1, 8).select(
+        F.lit("s").alias("source"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("external_id"),
+        F.when(F.col("id") % 2 == 0, F.col("id").cast("string")).alias("value"), F.col("id").alias("at"),
+    )
+    picked = last_wins(rows, ["at"])
+    plan = picked._jdf.queryExecution().executedPlan().toString()
+    assert "partial_max_by" in plan and "Window" not in plan
+    got = {r["external_id"]: (r["value"], r["at"]) for r in picked.collect()}
+    assert len(got) == 20_001
+    # The latest row wins whole, its nulls included.
+    assert got["hot"] == (None, 29_997) and got["29999"] == (None, 29_999)
+
+
+def test_upsert_replaces_with_nulls_and_keeps_the_rest(spark):
+    from pairrank.operators.keyed import duplicate_keys, merge_payload, missing_parents
+
+    ddl = "id string, source string, external_id string, smiles string"
+    old = spark.createDataFrame([("1", "s", "A", "C"), ("2", "s", "B", "CC")], ddl)
+    new = spark.createDataFrame([("x", "s", "A", None), ("y", "s", "N", "O")], ddl)
+    got = sorted(map(tuple, merge_payload(old, new, ["smiles"]).collect()))
+    assert got == [("1", "s", "A", None), ("2", "s", "B", "CC"), ("y", "s", "N", "O")]
+    assert duplicate_keys(old.union(new)).collect()[0]["n_rows"] == 2
+    children = spark.createDataFrame([("1",), ("9",), (None,)], "parent string")
+    assert [r[0] for r in missing_parents(children, old, "parent").collect()] == ["9"]
+
+
+def test_records_to_rows(spark):
+    from pairrank.operators.records import to_rows
+
+    records = spark.createDataFrame([("A", "x"), ("", "y"), (None, ""), (None, None)], "external_id string, source_id string")
+    rows = to_rows(records, "s", "compound").collect()
+    assert [r["external_id"] for r in rows] == ["A", "y", None, None]
+    with pytest.raises(ValueError):
+        to_rows(records, "s", "antibody")
+    filled = to_rows(records, "s", "interaction").first()
+    assert (filled["interaction_type"], filled["label"], filled["affinity_value"]) == ("binds", 1, None)

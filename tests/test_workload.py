@@ -25,6 +25,8 @@ def duck():
 
 
 def plain(value):
+    if isinstance(value, float):
+        return repr(value)
     if isinstance(value, decimal.Decimal):
         return float(value)
     if isinstance(value, datetime.datetime):
@@ -36,6 +38,9 @@ def key(row):
     return [(v is None, str(v)) for v in row]
 
 
+TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR"}
+
+
 @pytest.mark.parametrize("name", sorted(contract.queries()))
 def test_query(spark, duck, name):
     got = contract.queries()[name](spark, SF)
@@ -48,6 +53,8 @@ def test_query(spark, duck, name):
     relation = duck.sql(sql)
     assert sorted(relation.columns) == names
     order = [relation.columns.index(c) for c in names]
+    types = {f.name: TYPES[f.dataType.simpleString()] for f in got.schema}
+    assert {c: str(t) for c, t in zip(relation.columns, relation.types)} == types
     want = sorted((tuple(plain(r[i]) for i in order) for r in relation.fetchall()), key=key)
     assert len(rows) == len(want)
     wrong = [(a, b) for a, b in zip(rows, want) if a != b]
