@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from pairrank.operators.topk import top_k_rows
 from pairrank.session import cut_lineage
 
+# Class threshold and default k.
 THRESHOLD = 0.5
 K_VALUES = (10, 50, 100)
+# Balance of the prefix sum; the result does not depend on these.
 PER_RANGE = 25_000
 MAX_RANGES = 4096
 
@@ -182,6 +184,14 @@ def compare(groups: DataFrame) -> DataFrame:
     )
 
 
+def side_by_side(comparison: DataFrame, splits: tuple[str, ...]) -> DataFrame:
+    """A comparison turned: one row per metric, one column per split."""
+    names = [c for c in comparison.columns if c != "split"]
+    numbers = comparison.select("split", *[F.col(c).cast("double").alias(c) for c in names])
+    long = numbers.unpivot("split", names, "metric", "value")
+    return long.groupBy("metric").pivot("split", list(splits)).agg(F.first("value"))
+
+
 def evaluate(scored: DataFrame, k_values=K_VALUES, **names: str) -> DataFrame:
     """Whole report, one row per split, nested as threshold_free, threshold_based, ranking."""
     keyless = {k: v for k, v in names.items() if k != "key"}

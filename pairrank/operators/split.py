@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 PREFIX_DIGITS = 4
 SPLITS = ("train", "val", "test")
+# Default shares and seed.
+TEST_SIZE, VAL_SIZE, SEED = 0.15, 0.15, 42
 SIZES = "label int, n long, n_test long, n_val long"
 
 
@@ -33,7 +35,7 @@ def _shares(counts: dict, total: int, wanted: int) -> dict:
     return seats
 
 
-def split_sizes(counts: dict, test_size: float = 0.15, val_size: float = 0.15) -> dict:
+def split_sizes(counts: dict, test_size: float = TEST_SIZE, val_size: float = VAL_SIZE) -> dict:
     """label -> (n, n_test, n_val) from the class counts."""
     small = [label for label, c in counts.items() if c < 2]
     if small:
@@ -55,8 +57,8 @@ def hash_order(key, seed: int) -> Column:
 
 
 def stratified_split(
-    df: DataFrame, label: str = "label", key: str = "key", test_size: float = 0.15,
-    val_size: float = 0.15, seed: int = 42, group_key: str | Column | None = None,
+    df: DataFrame, label: str = "label", key: str = "key", test_size: float = TEST_SIZE,
+    val_size: float = VAL_SIZE, seed: int = SEED, group_key: str | Column | None = None,
 ) -> DataFrame:
     """Adds ``split``. ``key`` must be unique; the result depends on nothing else.
 

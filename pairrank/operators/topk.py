@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Fixed value: largest top_k of a query.
 MAX_K = 500
 SCORE_DIGITS = 6
 ROUND_GUARD = 1e-6

@@ -16,6 +16,11 @@ from pairrank.plans.models import utc_now
 from pairrank.sources.feature_store import FeatureStore
 
 
+# Vector widths, and the batch and length limits of sequence models.
+N_BITS, DIM = 2048, 320
+BATCH_SIZE, MAX_LENGTH = 8, 1024
+
+
 class Featurizer(ABC):
     """external_id, source and a text column in; external_id, source, ``vector`` out.
 
@@ -44,7 +49,7 @@ class QGramFingerprint(Featurizer):
     text = "smiles"
 
     def __init__(self, n_bits: int | None = None, q: int | None = None) -> None:
-        self.n_bits = 2048 if n_bits is None else n_bits
+        self.n_bits = N_BITS if n_bits is None else n_bits
         self.q = 4 if q is None else q
         if self.n_bits < 1 or self.q < 1:
             raise ValueError(f"n_bits and q must be positive, got {self.n_bits} and {self.q}")
@@ -68,7 +73,7 @@ class KmerEmbedding(Featurizer):
 
     text = "sequence"
 
-    def __init__(self, dim: int = 320, k: int = 3, max_length: int | None = None) -> None:
+    def __init__(self, dim: int = DIM, k: int = 3, max_length: int | None = None) -> None:
         if dim < 1 or k < 1:
             raise ValueError(f"dim and k must be positive, got {dim} and {k}")
         self.dim, self.k, self.max_length = dim, k, max_length
@@ -97,7 +102,7 @@ class ModelEmbedding(Featurizer):
 
     def __init__(
         self, name: str, dim: int, load: Callable[[], object],
-        embed: Callable[[object, list[str]], Iterable[Iterable[float]]], batch_size: int = 8, max_length: int = 1024,
+        embed: Callable[[object, list[str]], Iterable[Iterable[float]]], batch_size: int = BATCH_SIZE, max_length: int = MAX_LENGTH,
     ) -> None:
         self.name, self.dim = name, dim
         self.load, self.embed = load, embed

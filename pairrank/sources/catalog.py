@@ -40,6 +40,9 @@ def get_registered_source(name: str) -> Source:
         raise ValueError(f"no source named '{name}'; known: {sorted(_registered)}") from None
 
 
+# Versions and stated sizes of the two preset sources.
+
+
 def chembl_source(url: str, version: str = "v33") -> Source:
     return Source("chembl", url, "sdf", "compound", version, {"estimated_compounds": 2_400_000})
 

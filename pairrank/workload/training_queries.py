@@ -245,6 +245,24 @@ def compare_splits(spark, sf_dir):
     return _rounded(metrics.compare(groups), "auroc", "auprc", "f1", "accuracy")
 
 
+@query(
+    f"""
+    WITH {SPLIT}, {CURVES}, {COUNTS},
+    m AS (
+      SELECT split, unnest(['auroc', 'auprc', 'f1', 'accuracy', 'n_samples']) AS metric,
+             unnest([auroc, auprc, f1, accuracy, n_samples::DOUBLE]) AS value
+      FROM (SELECT r.split, auroc, auprc, f1, accuracy, n_samples FROM report r JOIN curve c ON r.split = c.split))
+    SELECT metric, ROUND(MAX(CASE WHEN split = 'train' THEN value END), 6) AS train,
+           ROUND(MAX(CASE WHEN split = 'val' THEN value END), 6) AS val, ROUND(MAX(CASE WHEN split = 'test' THEN value END), 6) AS test
+    FROM m GROUP BY metric
+    """
+)
+def compare_side_by_side(spark, sf_dir):
+    """The comparison with one column per split."""
+    comparison = metrics.compare(metrics.held_groups(_split_labels(spark, sf_dir)))
+    return _rounded(metrics.side_by_side(comparison, ("train", "val", "test")), "train", "val", "test")
+
+
 @query(
     """
     SELECT event_type AS source, CASE WHEN value > 50 THEN 'FAILED' ELSE 'COMPLETED' END AS status, COUNT(*)::BIGINT AS runs
