@@ -81,7 +81,7 @@ def _scatter(column: pa.Array, n_bits: int) -> np.ndarray:
 
 
 def _norms(matrix: np.ndarray) -> np.ndarray:
-    length = np.sqrt((matrix.astype(np.float64) ** 2).sum(axis=1))
+    length = np.sqrt(np.einsum("ij,ij->i", matrix, matrix, dtype=np.float64))
     return np.where(length == 0, 1.0, length)
 
 
@@ -116,8 +116,8 @@ class Scorer:
     def queries(self, column: pa.Array) -> np.ndarray:
         return _scatter(column, self.n_bits) if self.n_bits else _dense(column, None)
 
-    def score(self, queries: np.ndarray, column: pa.Array) -> np.ndarray:
-        """One row per query, one column per candidate."""
+    def score(self, queries: np.ndarray, norms: np.ndarray, column: pa.Array) -> np.ndarray:
+        """One row per query, one column per candidate; ``norms`` are the queries' own."""
         if self.pair_model is not None:
             return self.pair_model.score_pairs(queries, _dense(column, None))
         if self.metric == "binary_cosine":
@@ -127,7 +127,8 @@ class Scorer:
         product = (queries @ candidates.T).astype(np.float64)
         if self.metric == "dot":
             return product
-        return product / (_norms(queries)[:, None] * _norms(candidates)[None, :])
+        product /= norms[:, None] * _norms(candidates)[None, :]
+        return product
 
 
 def _pick(scores: np.ndarray, ks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,13 +184,14 @@ def _rank_batches(batches: Iterator[pa.RecordBatch], block: _Block, scorer: Scor
     """Running top-k of a stream of candidate batches."""
     best = None
     step = max(256, PIECE_CELLS // max(block.matrix.shape[1], len(block.ids), 1))
+    norms = _norms(block.matrix)
     for batch in batches:
         ordered = pa.Table.from_batches([batch]).sort_by(
             [("source", "ascending"), ("external_id", "ascending")]
         )
         for start in range(0, len(ordered), step):
             piece = ordered.slice(start, step).combine_chunks()
-            scores = _round(scorer.score(block.matrix, _array(piece["vector"])))
+            scores = _round(scorer.score(block.matrix, norms, _array(piece["vector"])))
             asked, places = _pick(scores, block.ks)
             found = piece.select(["source", "external_id"]).take(pa.array(places))
             found = found.append_column("_q", pa.array(asked, pa.int64()))
