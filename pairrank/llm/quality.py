@@ -14,10 +14,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairrank.llm.common import WORD
+from pairrank.llm.common import BLANKS, WORD
 
 #: Least words; share of repeated words (percent) that fails; symbols that are counted.
 MIN_WORDS, MAX_REPEATED, SYMBOLS = 50, 50, "#*$%&|<>"
@@ -29,7 +29,6 @@ MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.3, 0.5
 COMMON_WORDS, MAX_LANGUAGES, MIN_REFERENCE_WORDS = 40, 64, 2_000
 #: Character classes, in the order in which they are taken off the text; the rest is symbols.
 CLASSES = (r"\p{Ll}+", r"\p{Lu}+", r"[\p{L}\p{M}]+", r"\p{N}+", r"""[.,;:!?'"()\-]+""")
-BUCKETS = 1024
 
 
 def _let(value: Column, body) -> Column:
@@ -37,54 +36,82 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def repeated_words(words: Column) -> Column:
-    """Words inside three-word windows that occur twice or more in the list."""
+def words_of(text: Column) -> Column:
+    """The words of a text; they end at blanks, tabs and line ends only."""
+    bare = F.trim(text, F.lit(BLANKS))
+    return F.when(F.length(bare) > 0, F.split(bare, r"[\x20\x09-\x0D]+", -1)).otherwise(F.array().cast("array<string>"))
 
-    def count(w: Column) -> Column:
-        at = F.sequence(F.lit(0), F.size(w) - 3)
-        keys = F.transform(at, lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
 
-        def same(x: Column, y: Column) -> Column:
-            equal = x.k == y.k
-            for step in range(3):
-                equal = equal & (F.get(w, x.i + step) == F.get(w, y.i + step))
-            return F.coalesce(equal, F.lit(False))
+def repeated_words(w: Column, h: Column) -> Column:
+    """Words inside three-word windows that occur twice or more; ``h`` has the words' hashes."""
 
-        def covered(k: Column) -> Column:
-            placed = F.sort_array(F.transform(k, lambda key, i: F.struct(key.alias("k"), i.alias("i"))))
+    def fold(a: Column, b: Column) -> Column:
+        return F.shiftleft(a, 1).bitwiseXOR(F.shiftrightunsigned(a, 63)).bitwiseXOR(b)
 
-            def spread(s: Column) -> Column:
-                again = F.filter(s, lambda x, j: same(x, F.get(s, j - 1)) | same(x, F.get(s, j + 1)))
-                return F.size(F.array_distinct(F.flatten(F.transform(again, lambda x: F.array(x.i, x.i + 1, x.i + 2)))))
+    # zip_with fills the shorter list with nulls, so the last two keys are null and cut off.
+    pairs = F.zip_with(h, F.slice(h, F.lit(2), F.size(h)), fold)
+    keys = F.slice(F.zip_with(pairs, F.slice(h, F.lit(3), F.size(h)), fold), F.lit(1), F.size(h) - 2)
 
-            # Sorting is for texts that repeat anything at all.
-            return F.when(F.size(F.array_distinct(k)) == F.size(k), 0).otherwise(_let(placed, spread))
+    def same(x: Column, y: Column) -> Column:
+        equal = x.k == y.k
+        for step in range(3):
+            equal = equal & (F.get(w, x.i + step) == F.get(w, y.i + step))
+        return F.coalesce(equal, F.lit(False))
 
-        return F.when(F.size(w) < 3, 0).otherwise(_let(keys, covered))
+    def spread(s: Column) -> Column:
+        again = F.filter(s, lambda x, j: same(x, F.get(s, j - 1)) | same(x, F.get(s, j + 1)))
+        return F.size(F.array_distinct(F.flatten(F.transform(again, lambda x: F.array(x.i, x.i + 1, x.i + 2)))))
 
-    return _let(words, count)
+    def covered(k: Column) -> Column:
+        placed = F.sort_array(F.transform(k, lambda key, i: F.struct(key.alias("k"), i.alias("i"))))
+        # Sorting is for texts that repeat anything at all.
+        return F.when(F.size(F.array_distinct(k)) == F.size(k), 0).otherwise(_let(placed, spread))
 
+    return F.when(F.size(h) < 3, 0).otherwise(_let(keys, covered))
 
-def measured(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` with the words of the text (``_words``), the base counts and the class counts (``_classes``)."""
-    value = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(value, "\n", -1), lambda line: line.rlike(WORD))
-    rows = docs.withColumns({
-        "_words": F.regexp_extract_all(value, F.lit(WORD), F.lit(0)),
-        "n_dup_lines": _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "_rest": F.regexp_replace(value, r"[\x20\x09-\x0D]+", ""),
-    })
-    sizes = ["_size0"]
-    rows = rows.withColumn("_size0", F.length("_rest"))
+
+def counts_of(h: Column, wanted: list[int]) -> Column:
+    """A map from each hash of ``wanted`` that is in the list to how often it is."""
+    if not wanted:
+        return F.map_from_arrays(F.array().cast("array<bigint>"), F.array().cast("array<int>"))
+
+    def runs(s: Column) -> Column:
+        # The runs of a sorted list are the counts.
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda j: (j == 0) | (F.get(s, j) != F.get(s, j - 1)))
+        return _let(starts, lambda t: F.map_from_arrays(
+            F.transform(t, lambda j: F.get(s, j)), F.transform(t, lambda j, k: F.coalesce(F.get(t, k + 1), F.size(s)) - j),
+        ))
+
+    hits = F.sort_array(F.filter(h, lambda x: x.isin(wanted)))
+    return _let(hits, lambda s: F.when(F.size(s) > 0, runs(s)))
+
+
+def without_letters(rows: DataFrame, text: str) -> tuple[DataFrame, list[str]]:
+    """Takes one class of characters after the other off the text: what is left (``_rest``) and the length after each step."""
+    rows = rows.withColumn("_rest", F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", "")).withColumn("_size0", F.length("_rest"))
     for step, pattern in enumerate(CLASSES, 1):
         rows = rows.withColumn("_rest", F.regexp_replace("_rest", pattern, "")).withColumn(f"_size{step}", F.length("_rest"))
-        sizes.append(f"_size{step}")
-    classes = F.array(*(F.col(a) - F.col(b) for a, b in zip(sizes, sizes[1:])), F.col(sizes[-1]))
+    return rows, [f"_size{k}" for k in range(len(CLASSES) + 1)]
+
+
+def class_counts(sizes: list[str]) -> list[Column]:
+    return [*(F.col(a) - F.col(b) for a, b in zip(sizes, sizes[1:])), F.col(sizes[-1])]
+
+
+def measured(docs: DataFrame, text: str, wanted: list[int]) -> DataFrame:
+    """``docs`` with the base counts, the class counts (``_classes``) and the counts of the wanted words (``_common``)."""
+    value = F.coalesce(F.col(text), F.lit(""))
+    lines = F.filter(F.split(value, "\n", -1), lambda line: line.rlike(WORD))
+    of_words = _let(words_of(value), lambda w: _let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.struct(
+        F.size(h).alias("n"), repeated_words(w, h).alias("again"), counts_of(h, wanted).alias("common"),
+    )))
+    rows, sizes = without_letters(docs.withColumn("_of_words", of_words), text)
     return rows.withColumns({
-        "n_words": F.size("_words").cast("long"), "word_chars": F.col("_size0").cast("long"),
+        "n_words": F.col("_of_words.n").cast("long"), "word_chars": F.col("_size0").cast("long"),
         "n_symbols": (F.length("_rest") - F.length(F.translate("_rest", SYMBOLS, ""))).cast("long"),
-        "n_repeat_words": repeated_words(F.col("_words")).cast("long"), "_classes": classes,
-    }).drop("_rest", *sizes)
+        "n_dup_lines": _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+        "n_repeat_words": F.col("_of_words.again").cast("long"), "_common": F.col("_of_words.common"), "_classes": F.array(*class_counts(sizes)),
+    }).drop("_rest", "_of_words", *sizes)
 
 
 def base_failed() -> Column:
@@ -93,55 +120,43 @@ def base_failed() -> Column:
 
 @dataclass
 class References:
-    """``slots`` are the common words of all languages; ``words`` and ``chars`` hold a language's shares.
-
-    The last entry of a row of ``words`` is the share of all other words.
-    """
+    """For each language: hashes and shares of its common words, and shares of the character classes."""
 
     languages: list[str]
-    slots: list[str]
+    hashes: list[list[int]]
     words: list[list[float]]
     chars: list[list[float]]
 
 
-def bare(word: Column) -> Column:
-    """A word as the histograms know it: lower case, without punctuation at its ends."""
-    return F.lower(F.trim(word, F.lit(""".,;:!?'"()-""")))
-
-
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> References:
     """References from all documents with a language; exact counts, ties among common words by the word.
 
     The ``MAX_LANGUAGES`` largest languages of at least ``MIN_REFERENCE_WORDS`` words get one.
     """
     known = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
-    rest = F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")
-    sized = known.select("lang", rest.alias("r"), F.length(rest).alias("s0"))
-    for step, pattern in enumerate(CLASSES, 1):
-        sized = sized.withColumn("r", F.regexp_replace("r", pattern, "")).withColumn(f"s{step}", F.length("r"))
-    steps = [f"s{k}" for k in range(len(CLASSES) + 1)]
-    counts = [F.sum(F.col(a) - F.col(b)).alias(f"c{k}") for k, (a, b) in enumerate(zip(steps, steps[1:]))] + [F.sum(steps[-1]).alias(f"c{len(CLASSES)}")]
-    chars = {r.lang: [r[f"c{k}"] for k in range(len(CLASSES) + 1)] for r in sized.groupBy("lang").agg(*counts).orderBy(F.desc(sum(F.col(f"c{k}") for k in range(len(CLASSES) + 1))), "lang").limit(MAX_LANGUAGES).collect()}
+    rows, sizes = without_letters(known.withColumn("_n", F.size(words_of(F.col("text")))), "text")
+    sums = [F.sum(c).alias(f"c{k}") for k, c in enumerate(class_counts(sizes))]
+    totals = (
+        rows.groupBy("lang").agg(F.sum("_n").alias("n"), *sums).where(F.col("n") >= MIN_REFERENCE_WORDS)
+        .orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    )
     tally = (
-        known.where(F.col("lang").isin(list(chars)) if chars else F.lit(False))
-        .select("lang", F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word"))
-        .groupBy("lang", bare(F.col("word")).alias("word")).count()
+        known.where(F.col("lang").isin([r.lang for r in totals]) if totals else F.lit(False))
+        .select("lang", F.explode(words_of(F.col("text"))).alias("word")).groupBy("lang", "word").count()
     )
-    ranked = Window.partitionBy("lang").orderBy(F.desc("count"), "word")
     # Spark keeps the rank limit in each task before the shuffle by language.
-    best = tally.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= COMMON_WORDS).collect()
-    totals = {lang: sum(c) for lang, c in chars.items()}
-    top: dict[str, dict[str, int]] = {}
-    for r in best:
-        top.setdefault(r.lang, {})[r.word] = r["count"]
-    n_words = {r.lang: r.n for r in known.where(F.col("lang").isin(list(chars)) if chars else F.lit(False)).groupBy("lang").agg(F.sum(F.regexp_count("text", F.lit(WORD))).alias("n")).collect()}
-    languages = sorted(lang for lang in top if n_words.get(lang, 0) >= MIN_REFERENCE_WORDS)
-    slots = sorted({w for lang in languages for w in top[lang]})
-    words = []
-    for lang in languages:
-        row = [top[lang].get(w, 0) / n_words[lang] for w in slots]
-        words.append([*row, max(0.0, 1 - sum(row))])
-    return References(languages, slots, words, [[c / max(1, totals[lang]) for c in chars[lang]] for lang in languages])
+    ranked = Window.partitionBy("lang").orderBy(F.desc("count"), "word")
+    best = tally.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= COMMON_WORDS).withColumn("h", F.xxhash64("word")).orderBy("lang", "rank").collect()
+    found = References([], [], [], [])
+    for r in sorted(totals, key=lambda r: r.lang):
+        top = [b for b in best if b.lang == r.lang]
+        shares = [b["count"] / r.n for b in top]
+        chars = [r[f"c{k}"] for k in range(len(CLASSES) + 1)]
+        found.languages.append(r.lang)
+        found.hashes.append([b.h for b in top])
+        found.words.append([*shares, max(0.0, 1 - sum(shares))])
+        found.chars.append([c / max(1, sum(chars)) for c in chars])
+    return found
 
 
 def _constant(values: list, kind: str) -> Column:
@@ -162,40 +177,10 @@ def _js(shares: Column, reference: Column) -> Column:
     return F.sqrt(F.greatest(total, F.lit(0.0)))
 
 
-def word_shares(spark: SparkSession, words: Column, slots: list[str]) -> Column:
-    """Shares of the slots' words in the list, and of all others, as a dense array.
-
-    The slots are dealt to buckets by the hash that Spark takes of a word, so finding a
-    word's slot is one access and, mostly, one comparison.
-    """
-    buckets: list[list[str]] = [[] for _ in range(BUCKETS)]
-    numbers: list[list[int]] = [[] for _ in range(BUCKETS)]
-    if slots:
-        rows = spark.createDataFrame([(w, i) for i, w in enumerate(slots)], "w string, i int")
-        for r in rows.select("w", "i", F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b")).collect():
-            buckets[r.b].append(r.w)
-            numbers[r.b].append(r.i)
-    plain = _constant(buckets, "array<array<string>>")
-    index = _constant(numbers, "array<array<int>>")
-
-    def slot(w: Column) -> Column:
-        b = F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")
-        return F.get(F.get(index, b), F.array_position(F.get(plain, b), w).cast("int") - 1)
-
-    def dense(found: Column, n: Column) -> Column:
-        # The runs of a sorted list are the counts.
-        def runs(s: Column) -> Column:
-            starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda j: (j == 0) | (F.get(s, j) != F.get(s, j - 1)))
-            return _let(starts, lambda t: F.map_from_entries(F.transform(t, lambda j, k: F.struct(
-                F.get(s, j).alias("key"), (F.coalesce(F.get(t, k + 1), F.size(s)) - j).alias("value"),
-            ))))
-
-        counts = F.when(F.size(found) > 0, _let(F.sort_array(found), runs))
-        listed = _let(counts, lambda m: F.transform(F.sequence(F.lit(0), F.lit(max(0, len(slots) - 1))), lambda i: F.coalesce(F.element_at(m, i), F.lit(0)) / n))
-        return F.concat(listed if slots else F.array().cast("array<double>"), F.array(1 - F.size(found) / n))
-
-    hits = lambda w: F.filter(F.transform(w, lambda x: slot(bare(x))), lambda i: i.isNotNull())
-    return _let(words, lambda w: _let(hits(w), lambda found: dense(found, F.size(w).cast("double"))))
+def word_shares(common: Column, n: Column, hashes: list[int]) -> Column:
+    """Shares of a language's common words in a document, and of all its other words."""
+    listed = F.transform(_constant(hashes, "array<bigint>"), lambda k: F.coalesce(F.try_element_at(common, k), F.lit(0)) / n)
+    return _let(listed, lambda s: F.concat(s, F.array(1 - F.aggregate(s, F.lit(0.0), lambda a, x: a + x))))
 
 
 def assess(docs: DataFrame, references: References, text: str = "text") -> DataFrame:
@@ -206,18 +191,18 @@ def assess(docs: DataFrame, references: References, text: str = "text") -> DataF
     Columns with the names of new ones are replaced.
     """
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept"]
-    rows = measured(docs.drop(*made), text).withColumn("base_failed", base_failed())
+    wanted = sorted({h for some in references.hashes for h in some})
+    rows = measured(docs.drop(*made), text, wanted).withColumn("base_failed", base_failed())
 
-    def nearest(shares: Column, tables: list[list[float]]) -> Column:
-        each = [_js(shares, _constant(t, "array<double>")) for t in tables]
-        return F.least(*each) if len(each) > 1 else each[0]
+    def nearest(distances: list[Column]) -> Column:
+        return F.least(*distances) if len(distances) > 1 else distances[0]
 
     chars = words = F.lit(None).cast("double")
     if references.languages:
-        total = F.col("word_chars").cast("double")
-        shares = F.transform("_classes", lambda c: c / total)
-        chars = F.when(F.col("word_chars") >= MIN_CHARS_JUDGED, _let(shares, lambda s: nearest(s, references.chars)))
-        found = word_shares(docs.sparkSession, F.col("_words"), references.slots)
-        words = F.when(F.col("n_words") >= MIN_WORDS_JUDGED, _let(found, lambda s: nearest(s, references.words)))
+        shares = F.transform("_classes", lambda c: c / F.col("word_chars"))
+        chars = F.when(F.col("word_chars") >= MIN_CHARS_JUDGED, _let(shares, lambda s: nearest([_js(s, _constant(t, "array<double>")) for t in references.chars])))
+        common = lambda h, t: _let(word_shares(F.col("_common"), F.col("n_words"), h), lambda s: _js(s, _constant(t, "array<double>")))
+        each = [common(h, t) for h, t in zip(references.hashes, references.words)]
+        words = F.when(F.col("n_words") >= MIN_WORDS_JUDGED, nearest(each))
     near = (F.coalesce("char_distance", F.lit(0.0)) <= MAX_CHAR_DISTANCE) & (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE)
-    return rows.withColumns({"char_distance": chars, "word_distance": words}).withColumn("kept", ~F.col("base_failed") & near).drop("_words", "_classes")
+    return rows.withColumns({"char_distance": chars, "word_distance": words}).withColumn("kept", ~F.col("base_failed") & near).drop("_common", "_classes")
