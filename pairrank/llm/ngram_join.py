@@ -187,7 +187,8 @@ def near_duplicates(
         return lambda texts: ([shingle_set(t, ngram).view(np.int64) for t in texts],)
 
     texts = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("_text"))
-    sets = map_texts(texts.join(placed, "id"), "_text", "grams array<bigint>", make).drop("_text")
+    # Candidates grow with the documents, so this join moves the texts at every size.
+    sets = map_texts(texts.join(placed.hint("merge"), "id"), "_text", "grams array<bigint>", make).drop("_text")
     alone = F.col("blocks") == 1
     dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "id", "label", "copies", "grams", "block",
@@ -219,4 +220,4 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
     """
     classes = near_duplicates(docs, doc_id, text, **options)
     later = hold(classes.where(F.col("class_id") < F.col(doc_id)).select(F.col(doc_id).alias("_later")).distinct())
-    return docs.join(later, F.col(doc_id) == F.col("_later"), "left_anti")
+    return docs.join(later.hint("merge"), F.col(doc_id) == F.col("_later"), "left_anti")
