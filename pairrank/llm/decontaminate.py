@@ -90,6 +90,8 @@ class Matcher:
 
     def match(self, text: str | None) -> list[dict]:
         """{item_id, distance} of each item within its budget somewhere in the text."""
+        if not self.items:
+            return []
         text = normalise(text)
         starts: dict[int, set[int]] = {}
         for end, (length, places) in self.automaton.iter(text):

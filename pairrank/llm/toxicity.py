@@ -180,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         return lambda texts: ([[index[e] for e in entries(t) if e in index] for t in texts],)
 
     table = np.zeros((len(names), HELD_OUT - 1, 2))
-    table[:, :, 1] = np.array([[r[f"n{p}"] for p in parts] for r in found], float).reshape(len(names), -1)
+    table[:, :, 1] = np.array([[r[f"n{p}"] for p in parts] for r in found], float).reshape(len(names), len(parts))
     in_clean = map_texts(rows.where("_label <= 0"), "_text", "entry array<int>", look).select("_part", F.explode("entry").alias("entry"))
     for r in in_clean.groupBy("entry").agg(*sums).collect():
         table[r.entry, :, 0] = [r[f"n{p}"] for p in parts]
