@@ -72,7 +72,7 @@ def quarantine(rows: DataFrame, required: list[str]) -> tuple[DataFrame, DataFra
 def query_reason(text="query", top_k="top_k", entity_type="entity_type") -> Column:
     """Why a query is rejected; null when it is fine."""
     return (
-        F.when(F.col(text).isNull() | (F.trim(F.col(text)) == ""), "blank query")
+        F.when(F.col(text).isNull() | ~F.col(text).rlike(r"\S"), "blank query")
         .when(F.col(top_k).isNull() | ~F.col(top_k).between(1, MAX_K), "top_k out of range")
         .when(
             F.col(entity_type).isNull() | ~F.lower(F.col(entity_type)).isin("protein", "compound"),

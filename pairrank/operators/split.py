@@ -62,6 +62,8 @@ def stratified_split(
 ) -> DataFrame:
     """Adds ``split``. ``key`` must be unique; the result depends on nothing else.
 
+    A null label or a null key is an error: such a row has no class or no place.
+
     ``group_key`` keeps rows of one group (say, one compound) in one split; sizes are then
     met in expectation only.
     """
@@ -74,11 +76,15 @@ def stratified_split(
     prefixes = keyed.groupBy("_l", "_p").agg(F.count(F.lit(1)).alias("_n")).persist()
     try:
         # One row per class; the classes of a binary classifier are 0 and 1.
-        class_rows = prefixes.groupBy("_l").agg(F.sum("_n").alias("n")).limit(1001).collect()
+        class_rows = prefixes.groupBy("_l").agg(
+            F.sum("_n").alias("n"), F.sum(F.when(F.col("_p").isNull(), F.col("_n")).otherwise(0)).alias("keyless"),
+        ).limit(1001).collect()
         if len(class_rows) > 1000:
             raise ValueError("more than 1000 classes: is this a class column?")
         if not class_rows:
             return df.withColumn("split", F.lit(None).cast("string"))
+        if any(r["_l"] is None or r["keyless"] for r in class_rows):
+            raise ValueError("rows without a label or a key cannot be split: drop them first")
         sizes = split_sizes({r["_l"]: r["n"] for r in class_rows}, test_size, val_size)
         cuts = _cut_points(df.sparkSession, keyed, prefixes, sizes, df.schema[label].dataType)
     finally:

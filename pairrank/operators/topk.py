@@ -229,7 +229,8 @@ def nearest(
 
     ``queries`` holds query_id and vector, and may hold its own top_k per query (1..500);
     ``candidates`` holds source, external_id and vector. Scores are rounded to six digits
-    before ranking; ties go by source, then external_id.
+    before ranking; ties go by source, then external_id. A null query_id, or one that two
+    queries share, is an error.
     """
     if not 1 <= top_k <= MAX_K:
         raise ValueError(f"top_k must lie in 1..{MAX_K}, got {top_k}")
@@ -246,8 +247,15 @@ def nearest(
     schema = f"query_id {id_type}, top_k int, source string, external_id string, score double"
 
     few = queries.limit(query_block + 1).toArrow()
+    fewer = len(few) <= query_block
+    if fewer:
+        unclear = few["query_id"].null_count or pc.count_distinct(few["query_id"]).as_py() < len(few)
+    else:
+        unclear = not queries.groupBy("query_id").count().where("query_id is null or count > 1").isEmpty()
+    if unclear:
+        raise ValueError("query_id must be set and unique")
     width = scorer.n_bits or _longest(few["vector"])
-    fits = len(few) <= query_block and len(few) * width * 8 <= max_broadcast_bytes
+    fits = fewer and len(few) * width * 8 <= max_broadcast_bytes
     if fits:
         scored = _against_broadcast(few, candidates, scorer, schema)
     else:

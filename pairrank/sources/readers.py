@@ -41,6 +41,17 @@ def _records(spark: SparkSession, path, separator: str, partitions: int | None)
 
 
 ITEM_HEADER = r"(?m)^>[^\n<]*<"
+#: Starts the line that ends a record, whether lines end with a line feed alone or not.
+SDF_SEPARATOR = "\n$$$$"
+
+
+def without_line_rest(records: DataFrame, text: str = "value") -> DataFrame:
+    """Takes the rest of the separator's line from the start of each record.
+
+    The counts line is a record's fourth, so a first record with a blank name keeps its line.
+    """
+    in_place = F.col(text).rlike(r"\A(?:[^\n]*\n){3}[^\n]*V[23]000")
+    return records.withColumn(text, F.when(in_place, F.col(text)).otherwise(F.regexp_replace(text, r"\A[ \t\r]*\n", "")))
 
 
 def _sdf_items(text: Column) -> Column:
@@ -72,19 +83,20 @@ def _sdf_props(items: Column) -> Column:
 def parse_sdf(records: DataFrame, text: str = "value", external_id_prop: str = "_Name", smiles_prop: str = "SMILES") -> DataFrame:
     """external_id, smiles, props of each readable molecule, beside the other columns.
 
-    ``_Name`` is the record's first line; other names are properties. Records without the
-    end of a connection table or without the structure property are skipped.
+    ``_Name`` is the record's first line; other names are properties. A record without the
+    end of a connection table or without the structure property has a null ``smiles``, so a
+    load rejects and counts it; only blank records are skipped.
     """
     kept = [F.col(c) for c in records.columns if c != text]
-    readable = F.col(text).contains("M  END") & F.col(text).rlike(f"{ITEM_HEADER}\\Q{smiles_prop}\\E>")
-    cleaned = records.filter(readable).withColumn(text, F.regexp_replace(text, r"\r|\$\$\$\$\s*$", ""))
+    whole = F.col(text).contains("M  END")
+    cleaned = records.filter(F.col(text).rlike(r"\S")).withColumn(text, F.regexp_replace(text, r"\r|\$\$\$\$\s*$", ""))
     items = cleaned.withColumn("_items", _sdf_items(F.col(text)))
     props = items.withColumn("_props", _sdf_props(F.col("_items")))
     name = F.nullif(F.trim(F.substring_index(text, "\n", 1)), F.lit(""))
     key = name if external_id_prop == "_Name" else F.try_element_at("_props", F.lit(external_id_prop))
     return props.select(
         key.alias("external_id"),
-        F.col("_props")[smiles_prop].alias("smiles"),
+        F.when(whole, F.nullif(F.try_element_at("_props", F.lit(smiles_prop)), F.lit(""))).alias("smiles"),
         F.map_filter("_props", lambda k, _: k != smiles_prop).alias("props"),
         *kept,
     )
@@ -92,9 +104,9 @@ def parse_sdf(records: DataFrame, text: str = "value", external_id_prop: str = "
 
 def read_sdf(
     spark: SparkSession, path, external_id_prop: str = "_Name", smiles_prop: str = "SMILES",
-    newline: str = "\n", partitions: int | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
-    rows = _records(spark, path, "$$$$" + newline, partitions)
+    rows = without_line_rest(_records(spark, path, SDF_SEPARATOR, partitions))
     return parse_sdf(rows, external_id_prop=external_id_prop, smiles_prop=smiles_prop)
 
 
@@ -104,7 +116,7 @@ def read_sdf(
 def parse_fasta(records: DataFrame, text: str = "value") -> DataFrame:
     """external_id (header up to the first blank), description (header), sequence."""
     kept = [F.col(c) for c in records.columns if c != text]
-    filled = records.filter(F.trim(F.col(text)) != "")
+    filled = records.filter(F.col(text).rlike(r"\S"))
     end = F.locate("\n", F.col(text))
     header = F.when(end > 0, F.substring(text, F.lit(1), end - 1)).otherwise(F.col(text))
     body = F.when(end > 0, F.substring(text, end + 1, F.length(text))).otherwise("")
@@ -123,9 +135,14 @@ def read_fasta(spark: SparkSession, path, partitions: int | None = None) -> Data
 # ---------------------------------------------------------------------------------- CSV
 
 
-def read_csv(spark: SparkSession, path, schema: str | None = None, partitions: int | None = None) -> DataFrame:
-    """CSV with header. Give a schema for large inputs: inferring one reads the data twice."""
-    reader = spark.read.option("header", True)
+def read_csv(
+    spark: SparkSession, path, schema: str | None = None, partitions: int | None = None, multi_line: bool = False,
+) -> DataFrame:
+    """CSV with header. Give a schema for large inputs: inferring one reads the data twice.
+
+    ``multi_line`` reads quoted values that hold line ends; a file is then one task.
+    """
+    reader = spark.read.option("header", True).option("multiLine", multi_line)
     reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
     rows = with_position(reader.csv(path))
     if partitions or _is_gzip(path):

@@ -10,9 +10,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pairrank.plans.ingest import Ingestion, _now
 from pairrank.sources.catalog import Source
-from pairrank.sources.readers import parse_fasta, parse_sdf
+from pairrank.sources.readers import SDF_SEPARATOR, parse_fasta, parse_sdf, without_line_rest
 
-SEPARATORS = {"sdf": "$$$$\n", "fasta": "\n>"}
+SEPARATORS = {"sdf": SDF_SEPARATOR, "fasta": "\n>"}
 
 
 def _arriving(ingestion: Ingestion, source: Source, schema: str | None, max_files: int | None) -> DataFrame:
@@ -38,7 +38,7 @@ def _arriving(ingestion: Ingestion, source: Source, schema: str | None, max_file
 def _parsed(batch: DataFrame, fmt: str, options: dict) -> DataFrame:
     placed = batch.withColumn("_place", F.monotonically_increasing_id())
     if fmt == "sdf":
-        return parse_sdf(placed, **options)
+        return parse_sdf(without_line_rest(placed), **options)
     if fmt == "fasta":
         return parse_fasta(placed)
     return placed

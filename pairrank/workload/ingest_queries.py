@@ -231,7 +231,7 @@ QUERY_TABLE = """
     f"""
     WITH q AS ({QUERY_TABLE})
     SELECT conv_id, turn, md5(query) AS query_md5, top_k::BIGINT AS top_k, entity_type,
-           CASE WHEN trim(query, ' ') = '' THEN 'blank query'
+           CASE WHEN NOT regexp_matches(query, '\\S') THEN 'blank query'
                 WHEN top_k NOT BETWEEN 1 AND 500 THEN 'top_k out of range'
                 WHEN lower(entity_type) NOT IN ('protein', 'compound') THEN 'unknown entity_type' END AS reason
     FROM q

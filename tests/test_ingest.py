@@ -46,20 +46,42 @@ def test_sdf_scan(spark, tmp_path, suffix):
     text = ASPIRIN + broken + MOLECULE.format(name="", smiles="CCO", key="CHEMBL545")
     path = write(tmp_path / f"a.{suffix}", text)
     rows = {r["smiles"]: r for r in read_sdf(spark, path).collect()}
-    assert set(rows) == {"CC(=O)Oc1ccccc1C(=O)O", "CCO"}
+    # A record without a table is no molecule, but is there to be rejected.
+    assert set(rows) == {"CC(=O)Oc1ccccc1C(=O)O", "CCO", None}
+    assert rows[None]["external_id"] == "BROKEN"
     aspirin = rows["CC(=O)Oc1ccccc1C(=O)O"]
     assert aspirin["external_id"] == "ASPIRIN"
     assert aspirin["props"] == {"chembl_id": "CHEMBL113", "note": "two\nlines"}
     assert rows["CCO"]["external_id"] is None
     by_prop = read_sdf(spark, path, external_id_prop="chembl_id").collect()
-    assert {r["external_id"] for r in by_prop} == {"CHEMBL113", "CHEMBL545"}
+    assert {r["external_id"] for r in by_prop if r["smiles"]} == {"CHEMBL113", "CHEMBL545"}
 
 
 def test_sdf_with_windows_line_ends(spark, tmp_path):
     path = tmp_path / "w.sdf"
-    path.write_bytes(ASPIRIN.replace("\n", "\r\n").encode())
-    row = read_sdf(spark, str(path), newline="\r\n").first()
-    assert (row["external_id"], row["smiles"]) == ("ASPIRIN", "CC(=O)Oc1ccccc1C(=O)O")
+    more = "".join(MOLECULE.format(name=n, smiles=s, key=n) for n, s in [("", "CCO"), ("M2", "CCN")])
+    path.write_bytes((ASPIRIN + more).replace("\n", "\r\n").encode())
+    found = {(r["external_id"], r["smiles"]) for r in read_sdf(spark, str(path)).collect()}
+    assert found == {("ASPIRIN", "CC(=O)Oc1ccccc1C(=O)O"), (None, "CCO"), ("M2", "CCN")}
+
+
+def test_first_record_with_a_blank_name(spark, tmp_path):
+    row = read_sdf(spark, write(tmp_path / "b.sdf", MOLECULE.format(name="", smiles="CCO", key="K"))).first()
+    assert (row["external_id"], row["smiles"]) == (None, "CCO")
+
+
+def test_molecules_without_structure_are_kept_for_rejection(spark, tmp_path):
+    rows = read_sdf(spark, write(tmp_path / "n.sdf", ASPIRIN.replace("<SMILES>", "<OTHER>") * 3)).collect()
+    assert [r["smiles"] for r in rows] == [None] * 3
+
+
+def test_fasta_after_blank_lines(spark, tmp_path):
+    assert [r["external_id"] for r in read_fasta(spark, write(tmp_path / "l.fasta", "\n \n" + INSULIN)).collect()] == ["P12345"]
+
+
+def test_csv_with_quoted_line_ends(spark, tmp_path):
+    path = write(tmp_path / "q.csv", 'a,b\n1,"x\ny"\n2,z\n')
+    assert [r["b"] for r in read_csv(spark, path, multi_line=True).sort("a").collect()] == ["x\ny", "z"]
 
 
 def test_repeated_property_keeps_its_last_value(spark, tmp_path):
