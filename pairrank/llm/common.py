@@ -76,6 +76,14 @@ def hold(df: DataFrame) -> DataFrame:
     return held(df).df
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def lower_ascii(text: Column) -> Column:
+    """A-Z in lower case, all other letters as they are."""
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
+
+
 def fold(identifier: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id is in no fold."""
     return F.crc32(identifier.cast("string").cast("binary")) % folds

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairrank.llm import chat_format, decontaminate, langid, license_scan, line_dedup, ngram_join, quality, secret_scan, toxicity, unigram
+from pairrank.llm import chat_format, decontaminate, langid, license_scan, line_dedup, merkle, ngram_join, quality, secret_scan, toxicity, unigram
+
+from pairrank.llm.common import fold, lower_ascii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -129,3 +131,72 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(documents(spark, sf_dir))
+
+
+#: crc32 has no SQL function: its table, and a step for each byte of a text.
+CRC_SQL = """crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS steps
+)"""
+
+
+def crc_sql(text: str) -> str:
+    """Unsigned crc32 of the UTF-8 bytes of an SQL text; needs ``crc`` in FROM."""
+    digits = f"hex(encode({text}))"
+    every = f"list_transform(range(1, length({digits}) // 2 + 1), lambda i: CAST('0x' || substr({digits}, 2 * i - 1, 2) AS BIGINT))"
+    return f"xor(list_reduce({every}, lambda c, b: xor(c >> 8, crc.steps[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
+def merkle_sql(levels: int = 8) -> str:
+    """Up to 8^levels documents of a language, and as many languages."""
+    tree = "coalesce('+' || lang, '')"
+
+    def field(column: str) -> str:
+        return f"coalesce(octet_length(encode(CAST({column} AS VARCHAR))) || ':' || CAST({column} AS VARCHAR), '-')"
+
+    def leaf(text: str) -> str:
+        return f"sha256({' || '.join(map(field, ('doc_id', 'source', 'lang', 'n_chars')))} || {field(text)})"
+
+    parts = [f"""tampering AS (
+  SELECT doc_id, {tree} AS tree, {leaf('text')} AS leaf,
+    CASE WHEN {crc_sql('CAST(doc_id AS VARCHAR)')} % 3 = 0 THEN {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {leaf('text')} END AS fold
+  FROM documents, crc
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM tampering
+), a0 AS (SELECT tree, pos, leaf AS digest, count(*) OVER (PARTITION BY tree) AS n FROM leaves
+), p0 AS (SELECT doc_id, tree, pos, leaf, leaf AS digest, fold, '' AS proof FROM leaves)"""]
+
+    def climb(nodes: str, path: str, start: str, walk: str) -> str:
+        """Levels over ``nodes`` (tree, pos, digest, n), and the rows of ``path`` carried along them."""
+        for k in range(levels):
+            a, b, p, q = (f"{start}{k}", f"{start}{k + 1}", f"{walk}{k}", f"{walk}{k + 1}")
+            parts.append(f"""{b} AS (
+  SELECT tree, CASE WHEN n = 1 THEN pos ELSE pos // 8 END AS pos, CASE WHEN n = 1 THEN min(digest) ELSE sha256(string_agg(digest, '' ORDER BY pos)) END AS digest,
+    (n + 7) // 8 AS n, string_agg(digest, '' ORDER BY pos) AS run FROM (SELECT *, pos AS spot FROM {a}) GROUP BY tree, n, CASE WHEN n = 1 THEN pos ELSE pos // 8 END
+), {q} AS (
+  SELECT p.* REPLACE (b.pos AS pos, b.digest AS digest,
+    CASE WHEN a.n = 1 THEN proof ELSE proof || b.run[:64 * (p.pos % 8)] || b.run[64 * (p.pos % 8) + 65:] END AS proof,
+    CASE WHEN a.n = 1 THEN fold ELSE sha256(b.run[:64 * (p.pos % 8)] || fold || b.run[64 * (p.pos % 8) + 65:]) END AS fold)
+  FROM {p} p JOIN {a} a ON p.tree = a.tree AND p.pos = a.pos JOIN {b} b ON b.tree = p.tree AND b.pos = CASE WHEN a.n = 1 THEN p.pos ELSE p.pos // 8 END
+)""".replace("ORDER BY pos)", "ORDER BY spot)"))
+        return f"{walk}{levels}"
+
+    last = climb("a0", "p0", "a", "p")
+    parts.append(f"""tops AS (
+  SELECT tree AS name, digest AS subroot, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos FROM a{levels}
+), t0 AS (SELECT '' AS tree, pos, subroot AS digest, count(*) OVER () AS n FROM tops
+), w0 AS (SELECT l.* REPLACE ('' AS tree, t.pos AS pos), l.digest AS subroot FROM {last} l JOIN tops t ON l.tree = t.name)""")
+    end = climb("t0", "w0", "t", "w")
+    return "WITH " + CRC_SQL + ", " + ", ".join(parts) + f"""
+SELECT doc_id, leaf, subroot, digest AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = digest AS verified FROM {end}"""
+
+
+@query(sql=merkle_sql())
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*merkle.FIELDS)
+    lowered = merkle.leaf_digest(*merkle.FIELDS[:-1], lower_ascii(F.col("text")))
+    rows = merkle.manifest(docs, also={"tampered": F.when(fold(F.col("doc_id"), 3) == 0, lowered)})
+    folded = merkle.folded(F.coalesce("tampered", "leaf"), F.col("witness"))
+    return rows.withColumn("folded_root", folded).select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof(F.col("witness")), 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
