@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairrank.llm import chat_format, decontaminate, langid, license_scan, line_dedup, merkle, ngram_join, quality, secret_scan, toxicity, unigram
+from pairrank.llm import chat_format, decontaminate, langid, license_scan, line_dedup, merkle, ngram_join, quality, secret_scan, spelling, toxicity, unigram
 
 from pairrank.llm.common import fold, lower_ascii
 
@@ -146,6 +146,41 @@ def crc_sql(text: str) -> str:
     return f"xor(list_reduce({every}, lambda c, b: xor(c >> 8, crc.steps[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
 
 
+SPELLING_SQL = "WITH RECURSIVE " + CRC_SQL + r""", runs AS (
+  SELECT doc_id, run, count(*) AS c FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents
+  ) WHERE length(run) >= 5 GROUP BY doc_id, run
+), hashed AS (
+  SELECT run, c, """ + crc_sql("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run") + r""" AS h FROM runs, crc
+), words AS (
+  SELECT word, CAST(sum(c) AS BIGINT) AS n FROM (
+    SELECT c, CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word FROM hashed
+  ) WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3
+), less AS (
+  SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS other FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT l.word, w.word FROM less l JOIN words w ON l.rest = w.word
+  UNION SELECT w.word, l.word FROM less l JOIN words w ON l.rest = w.word
+), best AS (
+  SELECT x.word, count(*) AS n_near, first(x.other ORDER BY o.n DESC, encode(x.other)) AS other, max(o.n) AS other_n
+  FROM near x JOIN words o ON x.other = o.word GROUP BY x.word
+), formed AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.other_n >= 2 * w.n THEN b.other END AS form, CASE WHEN b.other_n >= 2 * w.n THEN b.other_n END AS form_n
+  FROM words w LEFT JOIN best b ON w.word = b.word
+), walk AS (
+  SELECT word, word AS spot FROM formed UNION ALL SELECT k.word, f.form FROM walk k JOIN formed f ON k.spot = f.word WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, k.spot AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near, CAST(f.form_n AS BIGINT) AS form_n
+FROM formed f JOIN walk k ON f.word = k.word JOIN formed e ON k.spot = e.word WHERE e.form IS NULL
+"""
+
+
+@query(sql=SPELLING_SQL)
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def merkle_sql(levels: int = 8) -> str:
     """Up to 8^levels documents of a language, and as many languages."""
     tree = "coalesce('+' || lang, '')"
