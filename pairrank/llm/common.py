@@ -99,7 +99,7 @@ def map_texts(docs: DataFrame, text: str, columns: str, make: Callable[[], Calla
     fields = StructType.fromDDL(columns).fields
     docs = docs.drop(*(f.name for f in fields))
     names = [*docs.columns, *(f.name for f in fields)]
-    kinds = [ARROW[f.dataType.simpleString()] for f in fields]
+    kinds = [ARROW.get(f.dataType.simpleString()) for f in fields]
     at = [docs.columns.index(c) for c in (text, *also)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

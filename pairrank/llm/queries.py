@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairrank.llm import chat_format, decontaminate, langid, license_scan, line_dedup, merkle, ngram_join, quality, secret_scan, spelling, toxicity, unigram
+from pairrank.llm import chat_format, decontaminate, langid, license_scan, line_dedup, merkle, ngram_join, quality, secret_scan, spelling, substring_dedup, toxicity, unigram
 
 from pairrank.llm.common import fold, lower_ascii
 
@@ -133,6 +133,24 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(documents(spark, sf_dir))
 
 
+SUBSTRING_SQL = r"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(words[i:i + 19], ' ')) AS w FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM texts)
+), copies AS (
+  SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS place FROM windows) WHERE place > 1
+), gone AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 20)))) AS spots FROM copies GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(g.spots), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN g.spots IS NULL THEN words ELSE list_filter(words, lambda x, i: NOT list_contains(g.spots, i)) END, ' ')) AS kept_sha256
+FROM texts t LEFT JOIN gone g ON t.doc_id = g.doc_id
+"""
+
+
+@query(sql=SUBSTRING_SQL)
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.without_copied(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 #: crc32 has no SQL function: its table, and a step for each byte of a text.
 CRC_SQL = """crc AS (
   SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS steps
