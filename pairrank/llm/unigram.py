@@ -6,6 +6,10 @@ finds the best path of each distinct word by Viterbi search. No piece holds a wh
 marker after another character or a line end, so no piece crosses from one word to the next
 and the best path of a text is the best paths of its words in a row; models for which that
 does not hold are encoded text by text. Words that a task has seen are looked up.
+
+A unigram model's scores are log probabilities and are used as they are. A merge model's
+scores are minus the ranks of its merges, which do not add up to anything; no model is
+trained here, so its pieces get the log probabilities of Zipf's law at their rank.
 """
 
 from __future__ import annotations
@@ -29,8 +33,9 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Slots looked through at a time when the trie is packed.
 WINDOW = 256
-#: Distinct words a task remembers before it starts anew; words of more bytes are not remembered.
-MEMORY, LONGEST = 400_000, 40
+#: Bytes of words and ids a task remembers before it starts anew, with what Python adds for each;
+#: words of more bytes are not remembered.
+MEMORY, OVERHEAD, LONGEST = 48 << 20, 200, 40
 #: Words searched side by side, and characters of a text cut into words at a time.
 SIDE_BY_SIDE, STRETCH = 8192, 1 << 20
 
@@ -85,6 +90,14 @@ def double_array(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return base[:last], check[:last], value[:last]
 
 
+def log_scores(scores: list[float]) -> list[float]:
+    """Log probabilities: the scores themselves, or Zipf's law (one over the rank, summing to one) if they are merge ranks, so whole numbers."""
+    if any(s != round(s) for s in scores):
+        return scores
+    place = np.unique(-np.array(scores), return_inverse=True)[1] + 1.0
+    return (-np.log(place) - np.log((1 / place).sum())).tolist()
+
+
 class Pieces:
     """The tables of a model, ready to be broadcast."""
 
@@ -96,7 +109,7 @@ class Pieces:
         normal = [i for i in ids if not (reader.is_unknown(i) or reader.is_control(i) or reader.is_byte(i) or reader.is_unused(i))]
         words = [reader.id_to_piece(i) for i in normal]
         self.ids = normal
-        self.scores = [reader.get_score(i) for i in normal]
+        self.scores = log_scores([reader.get_score(i) for i in normal])
         self.unknown_score = min(self.scores) - UNKNOWN_PENALTY
         self.words = [w.encode() for w in words]
         self.base, self.check, self.value = double_array(self.words)
@@ -135,6 +148,7 @@ class Encoder:
         self.lists = [a.tolist() for a in (pieces.base, pieces.check, pieces.value)]
         self.id_of, self.score_of = np.array(pieces.ids, np.int32), np.array(pieces.scores)
         self.known: dict[str, bytes] = {}
+        self.held = 0
         self.line_end = np.array(self.best_path("\n"), np.int32).tobytes()
 
     def best_path(self, text: str) -> list[int]:
@@ -250,15 +264,17 @@ class Encoder:
     def lookup(self, texts: list[list[str]]) -> list[bytes]:
         """The ids of the words of each text in a row."""
         distinct = set().union(*texts)
+        if self.held > MEMORY:
+            self.known, self.held = {}, 0
         new = list(distinct.difference(self.known))
-        if len(self.known) + len(new) > MEMORY:
-            self.known, new = {}, list(distinct)
         if new:
             self.learn(new)
         out = [b"".join(map(self.known.__getitem__, words)) for words in texts]
         for word in new:
             if len(word) > LONGEST:
                 del self.known[word]
+            else:
+                self.held += len(word) + len(self.known[word]) + OVERHEAD
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -311,6 +327,13 @@ def decode_ids(pieces: Pieces, ids: list[int]) -> str:
     return b"".join([table[i] for i in ids]).decode("utf-8", "replace").removeprefix(" ")
 
 
+def _lists(made: list[bytes]) -> tuple[pa.ListArray, np.ndarray]:
+    """The ids of a slice as one Arrow column, and their numbers."""
+    sizes = np.array([len(m) // 4 for m in made], np.int32)
+    offsets = np.concatenate(([0], np.cumsum(sizes, dtype=np.int32))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(made), np.int32))), sizes
+
+
 def encode(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
     """``docs`` with ``ids`` (array<int>) and ``n_ids``; columns of these names are replaced.
 
@@ -321,15 +344,7 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame
 
     def make():
         encoder = Encoder(shared.value)
-
-        def work(texts):
-            made = encoder.encode([t or "" for t in texts])
-            sizes = np.array([len(m) // 4 for m in made], np.int32)
-            offsets = np.concatenate(([0], np.cumsum(sizes, dtype=np.int32))).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(made), np.int32))
-            return pa.ListArray.from_arrays(pa.array(offsets), values), sizes
-
-        return work
+        return lambda texts: _lists(encoder.encode([t or "" for t in texts]))
 
     return map_texts(docs, text, "ids array<int>, n_ids int", make)
 
@@ -352,7 +367,21 @@ def decode(rows: DataFrame, ids: str = "ids", into: str = "decoded", model: str
 
 
 def encoded_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str = MODEL) -> DataFrame:
-    """(doc_id, ids, n_ids, round_trip): the ids and whether they decode to the text."""
-    coded = decode(encode(docs.select(doc_id, text), text, model), model=model)
-    exact = F.col("decoded") == F.translate(F.coalesce(F.col(text), F.lit("")), MARK, " ")
-    return coded.select(doc_id, "ids", F.col("n_ids").cast("long").alias("n_ids"), exact.alias("round_trip"))
+    """(doc_id, ids, n_ids, round_trip): the ids and whether they decode to the text; one pass, so one copy of the tables a core."""
+    shared = load(docs.sparkSession, model)
+
+    def make():
+        pieces = shared.value
+        encoder = Encoder(pieces)
+
+        def work(texts):
+            texts = [t or "" for t in texts]
+            made = encoder.encode(texts)
+            exact = [decode_ids(pieces, np.frombuffer(m, np.int32).tolist()) == t.replace(MARK, " ") for m, t in zip(made, texts)]
+            ids, sizes = _lists(made)
+            return ids, sizes.astype(np.int64), exact
+
+        return work
+
+    made = map_texts(docs.select(doc_id, F.col(text).alias("_text")), "_text", "ids array<int>, n_ids bigint, round_trip boolean", make)
+    return made.select(doc_id, "ids", "n_ids", "round_trip")
