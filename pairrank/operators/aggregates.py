@@ -41,7 +41,7 @@ def histogram(values: DataFrame, labels: list[str], value: str, bounds=STAGE_SEC
     sums = values.groupBy(*labels).agg(
         *[F.sum(F.when(amount <= F.lit(float(b)), 1).otherwise(0)).alias(f"_b{i}") for i, b in enumerate(bounds)],
         F.count(amount).alias("value_count"),
-        F.sum(amount.cast("decimal(28,6)")).cast("double").alias("value_sum"),
+        F.sum(amount.cast("double")).alias("value_sum"),
     )
     rows = [
         F.struct(F.lit(f"{float(b):g}").alias("le"), F.col(f"_b{i}").alias("bucket_count"))
@@ -50,6 +50,17 @@ def histogram(values: DataFrame, labels: list[str], value: str, bounds=STAGE_SEC
     return sums.select(*labels, "value_sum", "value_count", F.inline(F.array(*rows)))
 
 
+def stage_histogram(runs: DataFrame) -> DataFrame:
+    """Buckets of the seconds that each stage of the runs took, by source and stage."""
+    seconds = runs.select("source", F.explode("stages").alias("stage", "seconds"))
+    return histogram(seconds, ["source", "stage"], "seconds")
+
+
+def batch_histogram(runs: DataFrame) -> DataFrame:
+    """Buckets of the rows that each run or batch read, by source and entity type."""
+    return histogram(runs, ["source", "entity_type"], "rows_in", BATCH_ROWS)
+
+
 def mean_pool(positions: DataFrame, by: list[str], vector: str, mask: str, output: str = "pooled") -> DataFrame:
     """Mean of the position vectors whose mask is set, per group.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from datetime import datetime, timezone
 
@@ -12,10 +13,11 @@ from pyspark.sql import functions as F
 from pairrank import schemas
 from pairrank.operators.keyed import resolve_interactions, unresolved_reason
 from pairrank.operators.records import quarantine, to_rows
-from pairrank.session import shared_dir
+from pairrank.session import cut_lineage, shared_dir
 from pairrank.sources.catalog import Source, get_registered_source
+from pairrank.sources.files import delete
 from pairrank.sources.raw_files import hash_files, new_artifacts, store_raw
-from pairrank.sources.readers import POSITION, get_parser
+from pairrank.sources.readers import POSITION, read
 from pairrank.sources.tables import BUCKETS, AppendTable, KeyedTable
 
 RAW_FILES = "source string, version string, sha256 string, bytes long, path string, key string"
@@ -63,10 +65,12 @@ class Ingestion:
                 "stats": json.dumps(source.discover()["stats"]), "entity_type": source.entity_type,
                 "format": source.format.lower(),
             }
-            reader = get_parser(source.format)
+            started = time.monotonic()
             run["checksums"] = self._store(source)
-            records = reader(self.spark, source.url, **reader_options)
+            stored = time.monotonic()
+            records = read(self.spark, source.format, source.url, **reader_options)
             run |= self.load(records, name, source.entity_type, run["run_id"])
+            run["stages"] = {"store": stored - started, **run["stages"]}
         except Exception as error:
             self._log({**run, "status": "FAILED", "error": str(error), "ended_at": _now()})
             raise
@@ -77,14 +81,17 @@ class Ingestion:
     def load(self, records: DataFrame, source: str, entity_type: str, run_id: str) -> dict:
         """Normalises parsed records (with their position) and upserts them, all or nothing.
 
-        Returns rows_in, rows_upserted (before the last of a key wins) and rows_rejected.
+        Returns rows_in, rows_upserted (before the last of a key wins), rows_rejected and the
+        seconds of its stages. A run that is repeated under its id replaces its rejected rows.
         """
+        clock = [time.monotonic()]
         rows = to_rows(records, source, entity_type, keep=POSITION)
         if entity_type == "interaction":
             rows = self._with_parents(rows)
         staged = f"{shared_dir(self.spark)}/staging/{run_id}-{uuid.uuid4().hex}"
         rows.write.parquet(staged)
-        rows = self.spark.read.parquet(staged)
+        clock.append(time.monotonic())
+        rows = self.spark.read.schema(rows.schema).parquet(staged)
         required = REQUIRED[entity_type]
         good, bad = quarantine(rows, required)
         if entity_type == "interaction":
@@ -92,6 +99,7 @@ class Ingestion:
             bad = bad.unionByName(lost.filter(F.col("reason").isNotNull()))
             good = lost.filter(F.col("reason").isNull()).drop("reason")
         self.tables[entity_type].upsert(good, order=POSITION)
+        clock.append(time.monotonic())
         rejected = bad.select(
             "source", F.lit(entity_type).alias("entity_type"), "external_id", "reason",
             F.to_json(F.struct(*[F.col(c) for c in rows.columns if c not in POSITION])).alias("record"),
@@ -99,8 +107,11 @@ class Ingestion:
         )
         n_in, n_bad = rows.count(), bad.count()
         if n_bad:
-            self.rejected.append(rejected)
-        return {"rows_in": n_in, "rows_upserted": n_in - n_bad, "rows_rejected": n_bad}
+            self.rejected.replace(rejected, "run_id")
+        clock.append(time.monotonic())
+        delete(self.spark, staged)
+        stages = {name: b - a for name, a, b in zip(("parse", "upsert", "reject"), clock, clock[1:])}
+        return {"rows_in": n_in, "rows_upserted": n_in - n_bad, "rows_rejected": n_bad, "stages": stages}
 
     def _with_parents(self, rows: DataFrame) -> DataFrame:
         resolved = resolve_interactions(
@@ -109,20 +120,17 @@ class Ingestion:
         return resolved.withColumn("ingested_at", F.current_timestamp())
 
     def _store(self, source: Source) -> dict[str, str]:
-        """Copies files that are not stored yet; returns the checksums of all of them."""
-        hashed = hash_files(self.spark, source.url)
+        """Copies files that are not stored yet; returns the checksums of this run's files."""
+        hashed = cut_lineage(hash_files(self.spark, source.url))
         artifacts = hashed.select(
             F.lit(source.source).alias("source"), F.lit(source.version).alias("version"), *hashed.columns
         )
         fresh = new_artifacts(artifacts, self.raw_files.read()).select(*hashed.columns)
         stored = store_raw(fresh, source.source, source.version, f"{self.root}/raw")
         self.raw_files.append(stored)
-        known = self.raw_files.read().filter(
-            (F.col("source") == source.source) & (F.col("version") == source.version)
-        )
-        total = known.agg(
+        total = hashed.agg(
             F.count(F.lit(1)).alias("n"), F.max("sha256").alias("sha"),
-            F.bit_xor(F.xxhash64("key", "sha256")).alias("xor"),
+            F.bit_xor(F.xxhash64("filename", "sha256")).alias("xor"),
         ).first()
         if total["n"] == 1:
             return {"sha256": total["sha"]}

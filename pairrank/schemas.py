@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# Names and types of the stored columns.
 PROTEINS = "id string, source string, external_id string, sequence string, metadata map<string,string>"
 
 COMPOUNDS = "id string, source string, external_id string, smiles string, metadata map<string,string>"
@@ -15,7 +16,7 @@ INTERACTIONS = (
 RUNS = (
     "run_id string, status string, source string, stats string, checksums map<string,string>, "
     "error string, rows_in long, rows_upserted long, rows_rejected long, entity_type string, "
-    "format string, batch_id long, started_at timestamp, ended_at timestamp"
+    "format string, batch_id long, stages map<string,double>, started_at timestamp, ended_at timestamp"
 )
 
 TABLES = {"compound": COMPOUNDS, "protein": PROTEINS, "interaction": INTERACTIONS}

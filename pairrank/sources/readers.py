@@ -45,13 +45,24 @@ ITEM_HEADER = r"(?m)^>[^\n<]*<"
 SDF_SEPARATOR = "\n$$$$"
 
 
-def without_line_rest(records: DataFrame, text: str = "value") -> DataFrame:
+#: The fixed start of a molecule's fourth line: two numbers of three places.
+COUNTS = r"(?=.{0,5}\d)[ \d]{6}(?:[ \d]|\r?(?:\n|\z))"
+
+
+def without_line_rest(records: DataFrame, text: str = "value", block: str = "_block") -> DataFrame:
     """Takes the rest of the separator's line from the start of each record.
 
-    The counts line is a record's fourth, so a first record with a blank name keeps its line.
+    All records but a file's first begin with it. A record of a later block is not the first
+    (``block`` is the offset where its block starts), nor is one whose fifth line holds the
+    counts, which stand in a molecule's fourth. A first record with a blank name looks alike
+    but has them in its fourth line, and keeps its blank line.
     """
-    in_place = F.col(text).rlike(r"\A(?:[^\n]*\n){3}[^\n]*V[23]000")
-    return records.withColumn(text, F.when(in_place, F.col(text)).otherwise(F.regexp_replace(text, r"\A[ \t\r]*\n", "")))
+    def counts_in(line: int) -> Column:
+        return F.col(text).rlike(rf"\A(?:[^\n]*\n){{{line - 1}}}{COUNTS}")
+
+    first = (F.col(block) == 0) if block in records.columns else F.lit(True)
+    keeps = first & counts_in(4) & ~counts_in(5)
+    return records.withColumn(text, F.when(keeps, F.col(text)).otherwise(F.regexp_replace(text, r"\A[ \t\r]*\n", "")))
 
 
 def _sdf_items(text: Column) -> Column:
@@ -150,12 +161,12 @@ def read_csv(
     return rows
 
 
+#: The reader of each format that the catalogue knows.
 READERS: dict[str, Callable[..., DataFrame]] = {"sdf": read_sdf, "fasta": read_fasta, "csv": read_csv}
 
 
-def get_parser(fmt: str) -> Callable[..., DataFrame]:
-    """Reader of a format, in any case."""
-    reader = READERS.get(fmt.lower())
-    if reader is None:
+def read(spark: SparkSession, fmt: str, path, **options) -> DataFrame:
+    """The records of files in a named format, in any case of letters."""
+    if fmt.lower() not in READERS:
         raise ValueError(f"no reader for format '{fmt}'; known: {sorted(READERS)}")
-    return reader
+    return READERS[fmt.lower()](spark, path, **options)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pairrank.functions.keys import artifact_key, content_sha, surrogate_id
 from pairrank.functions.text import is_valid_structure, truncate
 from pairrank.operators import keyed, records
+from pairrank.plans.ingest import Ingestion
+from pairrank.session import shared_dir
 from pairrank.sources import catalog, raw_files, readers
 from pairrank.workload.registry import query
 from pairrank.workload.roles import compounds, interactions, proteins, table
@@ -40,31 +44,108 @@ def route_sources(spark, sf_dir):
     return catalog.route(docs, entries, "source", ["n_chars"])
 
 
-@query(
-    """
-    SELECT CAST(p_partkey AS VARCHAR) AS external_id, replace(p_name, ' ', '=') AS smiles,
-           p_brand AS brand, CAST(p_size AS VARCHAR) AS size, 2::BIGINT AS n_props
-    FROM part
-    """
-)
-def sdf_records(spark, sf_dir):
+def molecules(parts, smiles, end="\n"):
+    """One record of an SDF file for each part, without the line that ends it; a null structure is left out."""
+
     def item(name, value):
-        return F.concat(F.lit(f"> <{name}>\n"), value, F.lit("\n\n"))
+        return F.when(value.isNotNull(), F.concat(F.lit(f"> <{name}>\n"), value, F.lit("\n\n"))).otherwise("")
 
     text = F.concat(
         F.col("p_partkey").cast("string"),
-        F.lit("\n  made\n\n  0  0  0  0  0  0            999 V2000\nM  END\n"),
-        item("SMILES", F.translate("p_name", " ", "=")),
-        item("brand", F.col("p_brand")),
-        item("size", F.col("p_size").cast("string")),
+        F.lit("\n  made\nthe V2000 of a comment\n  0  0  0  0  0  0            999 V2000\nM  END\n"),
+        item("SMILES", smiles), item("brand", F.col("p_brand")), item("size", F.col("p_size").cast("string")),
     )
-    parsed = readers.parse_sdf(table(spark, sf_dir, "part").select(text.alias("value")))
+    return parts.select(F.replace(text, F.lit("\n"), F.lit(end)).alias("value"))
+
+
+SDF_SQL = """
+    SELECT CAST(p_partkey AS VARCHAR) AS external_id, replace(p_name, ' ', '=') AS smiles,
+           p_brand AS brand, CAST(p_size AS VARCHAR) AS size, 2::BIGINT AS n_props
+    FROM part
+    """
+
+
+def _parsed_molecules(parsed):
     return parsed.select(
         "external_id", "smiles", F.col("props")["brand"].alias("brand"), F.col("props")["size"].alias("size"),
         F.size("props").cast("bigint").alias("n_props"),
     )
 
 
+@query(SDF_SQL)
+def sdf_records(spark, sf_dir):
+    parts = table(spark, sf_dir, "part")
+    return _parsed_molecules(readers.parse_sdf(molecules(parts, F.translate("p_name", " ", "="))))
+
+
+def _sdf_files(spark, parts, smiles, end="\n"):
+    """Writes the parts as SDF files; their folder."""
+    folder = f"{shared_dir(spark)}/sdf/{uuid.uuid4().hex}"
+    molecules(parts, smiles, end).withColumn("value", F.concat("value", F.lit(f"$$$${end[:-1]}"))).write.text(folder)
+    return folder
+
+
+@query(SDF_SQL)
+def sdf_records_crlf(spark, sf_dir):
+    """The parts as SDF files with Windows line ends, read back by separator."""
+    parts = table(spark, sf_dir, "part")
+    return _parsed_molecules(readers.read_sdf(spark, _sdf_files(spark, parts, F.translate("p_name", " ", "="), "\r\n")))
+
+
+def _loaded_twice(spark, sf_dir):
+    """The parts as SDF files, loaded; then with another structure, or for small parts with none, loaded again."""
+    parts = table(spark, sf_dir, "part")
+    ingestion = Ingestion(spark, f"{shared_dir(spark)}/ingest/{uuid.uuid4().hex}", buckets=16)
+    later = F.when(F.col("p_size") >= 26, F.translate("p_type", " ", "="))
+    for version, smiles in (("v1", F.translate("p_name", " ", "=")), ("v2", later)):
+        catalog.register_source("parts", catalog.Source("parts", _sdf_files(spark, parts, smiles), "SDF", "compound", version))
+        ingestion.run_pipeline("parts")
+    return ingestion
+
+
+@query(
+    """
+    SELECT sha256('parts:' || p_partkey) AS id, 'parts' AS source, CAST(p_partkey AS VARCHAR) AS external_id,
+           replace(CASE WHEN p_size >= 26 THEN p_type ELSE p_name END, ' ', '=') AS smiles, CAST(p_size AS VARCHAR) AS size
+    FROM part
+    """
+)
+def ingest_run(spark, sf_dir):
+    """Whole runs: discover, store, parse, upsert; the second replaces what it has a structure for."""
+    rows = _loaded_twice(spark, sf_dir).tables["compound"].read()
+    return rows.select("id", "source", "external_id", "smiles", F.col("metadata")["size"].alias("size"))
+
+
+@query(
+    """
+    SELECT 'parts' AS source, 'compound' AS entity_type, CAST(p_partkey AS VARCHAR) AS external_id, 'missing smiles' AS reason,
+           p_brand AS brand
+    FROM part WHERE p_size < 26
+    """
+)
+def sdf_rejected(spark, sf_dir):
+    """Records of the second run that were kept aside, with the reason and what was read of them."""
+    rows = _loaded_twice(spark, sf_dir).rejected.read()
+    return rows.select("source", "entity_type", "external_id", "reason", F.get_json_object("record", "$.metadata.brand").alias("brand"))
+
+
+@query(
+    """
+    SELECT v.entity_type, v.status, count(*)::BIGINT AS runs, sum(v.n)::BIGINT AS rows_in, sum(v.bad)::BIGINT AS rows_rejected, 4::BIGINT AS stages
+    FROM (SELECT 'compound' AS entity_type, 'COMPLETED' AS status, count(*) AS n, 0 AS bad FROM part
+          UNION ALL SELECT 'compound', 'COMPLETED', count(*), count(*) FILTER (p_size < 26) FROM part) v
+    GROUP BY v.entity_type, v.status
+    """
+)
+def ingest_run_log(spark, sf_dir):
+    """The runs' own log, and how many stages of them were timed."""
+    runs = _loaded_twice(spark, sf_dir).runs()
+    return runs.groupBy("entity_type", "status").agg(
+        F.count(F.lit(1)).alias("runs"), F.sum("rows_in").alias("rows_in"), F.sum("rows_rejected").alias("rows_rejected"),
+        F.max(F.size("stages")).cast("bigint").alias("stages"),
+    )
+
+
 @query(
     """
     WITH s AS (SELECT doc_id, lang, source, regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]', '', 'g') AS seq FROM documents)
@@ -87,15 +168,17 @@ def fasta_records(spark, sf_dir):
 
 @query(
     """
-    SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders
+    SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate FROM orders
     """
 )
 def csv_records(spark, sf_dir):
-    names = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+    names = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "o_orderdate"]
     orders = table(spark, sf_dir, "orders").select(*names)
-    schema = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string"
+    schema = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string, o_orderdate timestamp"
     lines = orders.select(F.to_csv(F.struct(*names)).alias("line"))
-    return lines.select(F.from_csv("line", schema).alias("r")).select("r.*")
+    return lines.select(F.from_csv("line", schema).alias("r")).select("r.*").withColumn(
+        "o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
+    )
 
 
 @query(

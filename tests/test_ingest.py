@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pairrank.plans.ingest import Ingestion
 from pairrank.sources.catalog import Source, catalogue, get_registered_source, register_source
 from pairrank.sources.raw_files import hash_files, list_files
-from pairrank.sources.readers import get_parser, read_csv, read_fasta, read_sdf
+from pairrank.sources.readers import read, read_csv, read_fasta, read_sdf
+from pairrank.sources.tables import KeyedTable
 from pairrank.streaming.incremental import ingest_stream
 
 MOLECULE = """{name}
@@ -70,6 +71,20 @@ def test_first_record_with_a_blank_name(spark, tmp_path):
     assert (row["external_id"], row["smiles"]) == (None, "CCO")
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_names_whatever_the_comment_and_tag_say(spark, tmp_path, end):
+    """Comments that name a version, counts without one, blank names at the start and later."""
+    told = MOLECULE.replace("  prog\n\n", "  prog\nmade from V2000 files\n")
+    bare = MOLECULE.replace("            999 V2000", "")
+    records = [bare.format(name="", smiles="C", key="1"), told.format(name="M2", smiles="CC", key="2"), told.format(name="", smiles="CCC", key="3"), bare.format(name="M4", smiles="CCCC", key="4")]
+    wanted = [(None, "C"), ("M2", "CC"), (None, "CCC"), ("M4", "CCCC")]
+    for turn in range(4):
+        path = tmp_path / f"n{turn}.sdf"
+        path.write_bytes("".join(records[turn:] + records[:turn]).replace("\n", end).encode())
+        found = {(r["external_id"], r["smiles"]) for r in read_sdf(spark, str(path)).collect()}
+        assert found == set(wanted), turn
+
+
 def test_molecules_without_structure_are_kept_for_rejection(spark, tmp_path):
     rows = read_sdf(spark, write(tmp_path / "n.sdf", ASPIRIN.replace("<SMILES>", "<OTHER>") * 3)).collect()
     assert [r["smiles"] for r in rows] == [None] * 3
@@ -103,9 +118,9 @@ def test_csv_scan_and_reader_choice(spark, tmp_path):
     path = write(tmp_path / "a.csv", "external_id,label\nI1,1\nI2,0\n")
     rows = read_csv(spark, path).select("external_id", "label").collect()
     assert [tuple(r) for r in rows] == [("I1", 1), ("I2", 0)]
-    assert get_parser("SDF") is read_sdf
+    assert [r["label"] for r in read(spark, "CSV", path, schema="external_id string, label int").collect()] == [1, 0]
     with pytest.raises(ValueError, match="xlsx"):
-        get_parser("xlsx")
+        read(spark, "xlsx", path)
 
 
 def test_catalogue_replaces_and_rejects_unknown(spark):
@@ -224,11 +239,11 @@ def test_upsert_touches_only_its_partitions(spark, tmp_path, root):
         F.create_map(F.lit("description"), F.lit(None).cast("string")).alias("metadata"),
     )
     table.upsert(rows)
-    old = {p: p.stat().st_mtime_ns for p in (tmp_path / "db/tables/proteins").glob("key_bucket=*/*.parquet")}
-    assert len({p.parent for p in old}) == 8
+    old = table.snapshot().folders
+    assert sorted(old) == list(range(8)) and all((tmp_path / "db/tables/proteins" / f).is_dir() for f in old.values())
     table.upsert(rows.filter("external_id = '7'").withColumn("sequence", F.lit("NEW")).withColumn("id", F.lit("other")))
-    kept = [p for p in old if p.exists() and p.stat().st_mtime_ns == old[p]]
-    assert len({p.parent for p in kept}) == 7
+    new = table.snapshot().folders
+    assert sum(old[b] == new[b] for b in old) == 7
     got = {r["external_id"]: (r["id"], r["sequence"]) for r in table.read().collect()}
     assert len(got) == 200 and got["7"] == ("id7", "NEW") and got["8"] == ("id8", "AAA")
 
@@ -333,3 +348,134 @@ def test_records_to_rows(spark):
         to_rows(records, "s", "antibody")
     filled = to_rows(records, "s", "interaction").first()
     assert (filled["interaction_type"], filled["label"], filled["affinity_value"]) == ("binds", 1, None)
+
+
+# ------------------------------------------------------------------ versions of a table
+
+COMPOUND = "id string, source string, external_id string, smiles string, metadata map<string,string>"
+
+
+def compound_rows(spark, smiles, keys):
+    return spark.createDataFrame([(f"i{k}", "s", f"K{k}", smiles, {"a": "b"}) for k in keys], COMPOUND)
+
+
+def compound_table(spark, root, buckets=8):
+    return KeyedTable(spark, f"{root}/t", COMPOUND, ["smiles", "metadata"], buckets)
+
+
+def held_rows(table, version=None):
+    return {r["external_id"]: r["smiles"] for r in table.read(version).collect()}
+
+
+def test_versions_are_snapshots(spark, root):
+    table = compound_table(spark, root)
+    assert table.read().count() == 0 and table.versions() == []
+    first = table.upsert(compound_rows(spark, "C", range(50)))
+    before = table.read()
+    second = table.upsert(compound_rows(spark, "N", range(40, 60)))
+    assert (first, second, table.versions()) == (0, 1, [0, 1])
+    assert held_rows(table, 0) == {f"K{k}": "C" for k in range(50)}
+    assert held_rows(table) == {**{f"K{k}": "C" for k in range(40)}, **{f"K{k}": "N" for k in range(40, 60)}}
+    # A reader of the older version is not disturbed by the newer one.
+    assert {r["smiles"] for r in before.collect()} == {"C"} and before.count() == 50
+    assert table.upsert(compound_rows(spark, "X", [])) == 1
+    with pytest.raises(ValueError, match="no version 7"):
+        table.read(7)
+
+
+def test_bucket_count_is_the_stored_one(spark, root):
+    compound_table(spark, root, 8).upsert(compound_rows(spark, "C", range(50)))
+    other = compound_table(spark, root, 3)
+    other.upsert(compound_rows(spark, "N", range(50)))
+    assert held_rows(other) == {f"K{k}": "N" for k in range(50)}
+    assert other.snapshot().buckets == 8 and other.read().count() == 50
+
+
+def test_a_crash_before_the_commit_changes_nothing(spark, root, monkeypatch):
+    table = compound_table(spark, root)
+    table.upsert(compound_rows(spark, "C", range(50)))
+    folders = set(table.snapshot().folders.values())
+
+    def dies(*_):
+        raise OSError("power cut")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(KeyedTable, "_commit", dies)
+        with pytest.raises(OSError, match="power cut"):
+            table.upsert(compound_rows(spark, "N", range(50)))
+    again = compound_table(spark, root)
+    assert held_rows(again) == {f"K{k}": "C" for k in range(50)} and again.versions() == [0]
+    assert again.vacuum(older_than_hours=24) == 0
+    assert again.vacuum(older_than_hours=0) == 8
+    assert set(again.snapshot().folders.values()) == folders
+    again.upsert(compound_rows(spark, "N", range(50)))
+    assert set(held_rows(again).values()) == {"N"}
+    assert again.vacuum(keep=2, older_than_hours=0) == 0 and again.versions() == [0, 1]
+    assert again.vacuum(keep=1, older_than_hours=0) == 8 and again.versions() == [1]
+    assert again.read().count() == 50
+
+
+@pytest.mark.parametrize("overlap", [True, False])
+def test_two_writers(spark, root, monkeypatch, overlap):
+    """The second commits while the first merges: no row of either is lost, whether or not they share buckets."""
+    table, other = compound_table(spark, root, 64), compound_table(spark, root, 64)
+    table.upsert(compound_rows(spark, "C", range(20)))
+    bucket = {r["external_id"]: r["b"] for r in table.read().select("external_id", table.bucket_of(64).alias("b")).collect()}
+    mine = "K0"
+    theirs = mine if overlap else next(k for k, b in bucket.items() if b != bucket[mine])
+    merge, merges = KeyedTable._merge, []
+
+    def slow(self, updates, base):
+        made = merge(self, updates, base)
+        merges.append(self is table)
+        if self is table and len(merges) == 1:
+            other.upsert(compound_rows(spark, "theirs", [int(theirs[1:]), 100]))
+        return made
+
+    monkeypatch.setattr(KeyedTable, "_merge", slow)
+    assert table.upsert(compound_rows(spark, "mine", [0, 200])) == 2
+    # The merged buckets are used as they are where the other writer left them alone.
+    assert sum(merges) == (2 if overlap else 1)
+    wanted = {**{f"K{k}": "C" for k in range(20)}, "K100": "theirs", "K200": "mine", theirs: "theirs", mine: "mine"}
+    assert held_rows(table) == wanted
+    assert table.versions() == [0, 1, 2]
+
+
+def test_only_one_writer_publishes_a_version(spark, root):
+    from pairrank.sources.files import entries, publish, read_text
+
+    assert publish(spark, f"{root}/v/1.json", "a") and not publish(spark, f"{root}/v/1.json", "b")
+    assert read_text(spark, f"{root}/v/1.json") == "a"
+    assert [name for name, _ in entries(spark, f"{root}/v") if not name.startswith(".")] == ["1.json"]
+
+
+def test_a_repeated_load_rejects_its_rows_once(spark, tmp_path, root):
+    ingestion = Ingestion(spark, f"{root}/db", buckets=4)
+    path = write(tmp_path / "in/m.sdf", ASPIRIN + ASPIRIN.replace("<SMILES>", "<OTHER>").replace("ASPIRIN", "LOST"))
+    for _ in range(2):
+        ingestion.load(read_sdf(spark, path), "mols", "compound", "run1")
+    assert [(r["external_id"], r["run_id"]) for r in ingestion.rejected.read().collect()] == [("LOST", "run1")]
+    ingestion.load(read_sdf(spark, path), "mols", "compound", "run2")
+    assert {r["run_id"] for r in ingestion.rejected.read().collect()} == {"run1", "run2"}
+
+
+def test_stages_of_a_run_are_timed(spark, tmp_path, root):
+    from pairrank.operators.aggregates import batch_histogram, stage_histogram
+
+    register_source("timed", Source("timed", write(tmp_path / "in/m.sdf", ASPIRIN), "sdf", "compound"))
+    ingestion = Ingestion(spark, f"{root}/db", buckets=4)
+    run = ingestion.run_pipeline("timed")
+    assert set(run["stages"]) == {"store", "parse", "upsert", "reject"} and all(v > 0 for v in run["stages"].values())
+    last = [r for r in stage_histogram(ingestion.runs()).collect() if r["le"] == "+Inf"]
+    assert {(r["stage"], r["bucket_count"]) for r in last} == {(s, 1) for s in run["stages"]}
+    rows = {r["le"]: r["bucket_count"] for r in batch_histogram(ingestion.runs()).collect()}
+    assert rows["10"] == 1 and rows["+Inf"] == 1
+
+
+def test_checksums_are_those_of_the_run(spark, tmp_path, root):
+    ingestion = Ingestion(spark, f"{root}/db", buckets=4)
+    seen = []
+    for name, text in (("a", ASPIRIN), ("b", ASPIRIN.replace("ASPIRIN", "OTHER"))):
+        register_source("sums", Source("sums", write(tmp_path / f"{name}/m.sdf", text), "sdf", "compound", "v1"))
+        seen.append(ingestion.run_pipeline("sums")["checksums"])
+    assert all(set(c) == {"sha256"} for c in seen) and seen[0] != seen[1]
