@@ -1,36 +1,43 @@
 """Exact top-k: per group over rows, and per query over candidate vectors.
 
-Scoring every candidate against every query is what the ranking asks for, but no pair
-ever becomes a row. Each task multiplies an Arrow batch of candidates with the query
-matrix and keeps k results per query; only those are shuffled.
-
-* few queries (matrix within ``max_broadcast_bytes``, checked): the matrix is broadcast
-  and the candidates are not shuffled at all;
-* more queries: both sides are cut into hash blocks, and each (query block, candidate
-  block) pair is one bounded group.
-
-Both ways end in the same two-stage reduction and give the same rows.
+Ranking asks for the best of all candidates of every query, but no pair ever becomes a row
+and candidates are never shuffled: queries are broadcast, in blocks of a checked size, to
+the tasks that scan the candidates, one block after the other. A task multiplies blocks of
+candidates with the query matrix and keeps k results per query; only those are shuffled.
+
+Blocks of candidates need not be scored where they cannot matter. A task gathers like
+candidates (by their nearest of a few pivots, then by their angle to it) and bounds a
+query's best score in a block: by Cauchy-Schwarz with the block's norms, and by the
+triangle inequality of angles with the pivot. A query whose bound does not reach its k-th
+score so far, carried from block to block, skips the block. Results are the same.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from pairrank.session import cut_lineage
+
 # Fixed value: largest top_k of a query.
 MAX_K = 500
 SCORE_DIGITS = 6
 ROUND_GUARD = 1e-6
 MAX_BROADCAST_BYTES = 64 << 20
 QUERY_BLOCK = 8192
-CANDIDATE_BLOCK = 16384
+#: Candidates that share a bound, pivots of a batch, and queries below which bounds cost more than they save.
+CANDIDATE_BLOCK, PIVOTS, BOUNDED_QUERIES = 512, 16, 32
 PIECE_CELLS = 4_000_000
+#: Input splits that one task may scan.
+SPLITS = 64
 METRICS = ("dot", "cosine", "binary_cosine")
 
 
@@ -116,20 +123,76 @@ class Scorer:
     def queries(self, column: pa.Array) -> np.ndarray:
         return _scatter(column, self.n_bits) if self.n_bits else _dense(column, None)
 
-    def score(self, queries: np.ndarray, norms: np.ndarray, column: pa.Array) -> np.ndarray:
+    def candidates(self, column: pa.Array, queries: np.ndarray) -> np.ndarray:
+        if self.pair_model is None and self.metric == "binary_cosine":
+            return _scatter(column, self.n_bits)
+        return _dense(column, queries.shape[1] if self.pair_model is None and len(queries) else None)
+
+    def score(self, queries: np.ndarray, norms: np.ndarray, candidates: np.ndarray) -> np.ndarray:
         """One row per query, one column per candidate; ``norms`` are the queries' own."""
         if self.pair_model is not None:
-            return self.pair_model.score_pairs(queries, _dense(column, None))
-        if self.metric == "binary_cosine":
-            candidates = _scatter(column, self.n_bits)
-        else:
-            candidates = _dense(column, queries.shape[1] if len(queries) else None)
+            return self.pair_model.score_pairs(queries, candidates)
         product = (queries @ candidates.T).astype(np.float64)
         if self.metric == "dot":
             return product
         product /= norms[:, None] * _norms(candidates)[None, :]
         return product
 
+    def best_possible(self, toward: np.ndarray, norms: np.ndarray, group: _Group) -> np.ndarray:
+        """An upper bound of each query's scores in a block of candidates, rounding included.
+
+        ``toward`` holds the queries' angles to the block's pivot.
+        """
+        apart = np.maximum(0.0, np.maximum(group.near - toward, toward - group.far))
+        bound = np.cos(np.minimum(apart, np.pi))
+        if self.metric == "dot":
+            bound = bound * norms * np.where(bound > 0, group.longest, group.shortest)
+        if group.zero:
+            bound = np.maximum(bound, 0.0)
+        reach = norms * group.longest if self.metric == "dot" else 1.0
+        return bound + 1e-6 + 1e-7 * reach
+
+
+@dataclass
+class _Group:
+    """Like candidates: their rows, their pivot, and the bounds of their angles to it and of their norms."""
+
+    rows: np.ndarray
+    pivot: int
+    near: float
+    far: float
+    shortest: float
+    longest: float
+    zero: bool
+
+
+def _units(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors of norm one or zero, norms)"""
+    norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix, dtype=np.float64))
+    return matrix / np.where(norms == 0, 1.0, norms)[:, None], norms
+
+
+def _angles(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(units @ pivots.T, -1.0, 1.0))
+
+
+def _groups(candidates: np.ndarray, size: int) -> tuple[np.ndarray, list[_Group]]:
+    """The pivots of a batch, and its rows in groups of up to ``size`` around them."""
+    units, norms = _units(candidates)
+    pivots = units[np.unique(np.linspace(0, len(units) - 1, PIVOTS).astype(int))]
+    angles = _angles(units, pivots)
+    nearest = angles.argmin(axis=1)
+    angle = angles[np.arange(len(units)), nearest]
+    order = np.lexsort((angle, nearest))
+    groups = []
+    for pivot in range(len(pivots)):
+        around = order[np.searchsorted(nearest[order], pivot):np.searchsorted(nearest[order], pivot, "right")]
+        for start in range(0, len(around), size):
+            rows = around[start:start + size]
+            own = norms[rows]
+            groups.append(_Group(np.sort(rows), pivot, angle[rows].min(), angle[rows].max(), own.min(), own.max(), bool((own == 0).any())))
+    return pivots, groups
+
 
 def _pick(scores: np.ndarray, ks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(query, candidate) indexes of the k best per query row; ties go to the earlier candidate."""
@@ -180,24 +243,51 @@ def _best(tables: list[pa.Table], ks: np.ndarray) -> pa.Table:
     return merged.filter(pa.array(place < ks[q]))
 
 
-def _rank_batches(batches: Iterator[pa.RecordBatch], block: _Block, scorer: Scorer) -> pa.Table | None:
-    """Running top-k of a stream of candidate batches."""
-    best = None
-    step = max(256, PIECE_CELLS // max(block.matrix.shape[1], len(block.ids), 1))
-    norms = _norms(block.matrix)
+def _thresholds(best: pa.Table, ks: np.ndarray) -> np.ndarray:
+    """The k-th score of each query that has k results; ``best`` is sorted by query and rank."""
+    q, scores = best["_q"].to_numpy(), best["score"].to_numpy()
+    ends = np.searchsorted(q, np.arange(len(ks)), "right")
+    full = ends - np.searchsorted(q, np.arange(len(ks))) >= ks
+    return np.where(full, scores[np.maximum(ends - 1, 0)], -np.inf) if len(scores) else np.full(len(ks), -np.inf)
+
+
+def _rank_batches(batches: Iterator[pa.RecordBatch], block: _Block, scorer: Scorer, size: int) -> tuple[pa.Table | None, int, int]:
+    """Running top-k of a stream of candidate batches, the pairs met and the pairs scored."""
+    best, every, met, done = None, np.arange(len(block.ids)), 0, 0
+    step = max(256, PIECE_CELLS // max(block.matrix.shape[1], 1))
+    piece = max(256, PIECE_CELLS // max(len(block.ids), 1))
+    norms, reached = _norms(block.matrix), np.full(len(block.ids), -np.inf)
+    bounded = scorer.pair_model is None and len(every) >= BOUNDED_QUERIES
+    units, lengths = _units(block.matrix) if bounded else (None, None)
     for batch in batches:
         ordered = pa.Table.from_batches([batch]).sort_by(
             [("source", "ascending"), ("external_id", "ascending")]
         )
         for start in range(0, len(ordered), step):
-            piece = ordered.slice(start, step).combine_chunks()
-            scores = _round(scorer.score(block.matrix, norms, _array(piece["vector"])))
-            asked, places = _pick(scores, block.ks)
-            found = piece.select(["source", "external_id"]).take(pa.array(places))
-            found = found.append_column("_q", pa.array(asked, pa.int64()))
-            found = found.append_column("score", pa.array(scores[asked, places]))
-            best = _best([found] if best is None else [best, found], block.ks)
-    return best
+            slab = ordered.slice(start, step).combine_chunks()
+            candidates = scorer.candidates(_array(slab["vector"]), block.matrix)
+            if bounded and len(slab) > size:
+                pivots, groups = _groups(candidates, min(size, piece))
+                toward = _angles(units, pivots)
+            else:
+                groups = [_Group(np.arange(k, min(k + piece, len(slab))), 0, 0, 0, 0, 0, True) for k in range(0, len(slab), piece)]
+                toward = None
+            for group in groups:
+                active = every
+                if toward is not None:
+                    bound = scorer.best_possible(toward[:, group.pivot], lengths, group)
+                    active = np.flatnonzero((bound >= reached) | (lengths == 0))
+                met, done = met + len(every) * len(group.rows), done + len(active) * len(group.rows)
+                if not len(active):
+                    continue
+                scores = _round(scorer.score(block.matrix[active], norms[active], candidates[group.rows]))
+                asked, places = _pick(scores, block.ks[active])
+                found = slab.select(["source", "external_id"]).take(pa.array(group.rows[places]))
+                found = found.append_column("_q", pa.array(active[asked], pa.int64()))
+                found = found.append_column("score", pa.array(scores[asked, places]))
+                best = _best([found] if best is None else [best, found], block.ks)
+                reached = _thresholds(best, block.ks)
+    return best, met, done
 
 
 def _emit(best: pa.Table, block: _Block) -> pa.Table:
@@ -224,13 +314,16 @@ def nearest(
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
     query_block: int = QUERY_BLOCK,
     candidate_block: int = CANDIDATE_BLOCK,
+    report: SearchReport | None = None,
 ) -> DataFrame:
     """Best candidates of each query: query_id, top_k, rank, source, external_id, score.
 
     ``queries`` holds query_id and vector, and may hold its own top_k per query (1..500);
     ``candidates`` holds source, external_id and vector. Scores are rounded to six digits
     before ranking; ties go by source, then external_id. A null query_id, or one that two
-    queries share, is an error.
+    queries share, is an error. ``query_block`` and ``max_broadcast_bytes`` bound what is
+    broadcast at a time, ``candidate_block`` the candidates that share a bound; ``report``
+    counts the pairs that were scored.
     """
     if not 1 <= top_k <= MAX_K:
         raise ValueError(f"top_k must lie in 1..{MAX_K}, got {top_k}")
@@ -246,87 +339,90 @@ def nearest(
     id_type = queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {id_type}, top_k int, source string, external_id string, score double"
 
-    few = queries.limit(query_block + 1).toArrow()
-    fewer = len(few) <= query_block
+    width = scorer.n_bits or queries.agg(F.max(F.size("vector"))).first()[0] or 1
+    block = max(1, min(query_block, max_broadcast_bytes // (8 * width)))
+    few = queries.limit(block + 1).toArrow()
+    fewer = len(few) <= block
     if fewer:
         unclear = few["query_id"].null_count or pc.count_distinct(few["query_id"]).as_py() < len(few)
     else:
         unclear = not queries.groupBy("query_id").count().where("query_id is null or count > 1").isEmpty()
     if unclear:
         raise ValueError("query_id must be set and unique")
-    width = scorer.n_bits or _longest(few["vector"])
-    fits = fewer and len(few) * width * 8 <= max_broadcast_bytes
-    if fits:
-        scored = _against_broadcast(few, candidates, scorer, schema)
+    if fewer:
+        scored = _against_broadcast(few, candidates, scorer, schema, candidate_block, report)[0]
     else:
-        scored = _against_blocks(queries, candidates, scorer, schema, query_block, candidate_block)
-    ranked = top_k_rows(
-        scored,
-        ["query_id"],
-        [F.col("score").desc(), F.col("source"), F.col("external_id")],
-        limit,
-        F.concat_ws(":", "source", "external_id"),
-    )
-    return ranked.filter(F.col("rank") <= F.col("top_k")).select(
+        scored = _block_by_block(queries, candidates, scorer, schema, block, limit, candidate_block, report)
+    return _ranked(scored, limit).filter(F.col("rank") <= F.col("top_k")).select(
         "query_id", "top_k", "rank", "source", "external_id", "score"
     )
 
 
-def _longest(column) -> int:
-    return pc.max(pc.list_value_length(column)).as_py() or 1
+def _ranked(scored: DataFrame, limit: int) -> DataFrame:
+    order = [F.col("score").desc(), F.col("source"), F.col("external_id")]
+    return top_k_rows(scored, ["query_id"], order, limit, F.concat_ws(":", "source", "external_id"))
 
 
-def _against_broadcast(few: pa.Table, candidates: DataFrame, scorer: Scorer, schema: str) -> DataFrame:
+class SearchReport:
+    """Pairs of a query and a candidate that a search met, and those it scored; filled when its result is computed."""
+
+    def __init__(self) -> None:
+        self._seen: list[Observation] = []
+
+    def watch(self, scored: DataFrame) -> DataFrame:
+        self._seen.append(Observation())
+        return scored.observe(self._seen[-1], F.sum("met").alias("met"), F.sum("done").alias("done"))
+
+    @property
+    def pruned_share(self) -> float:
+        met, done = (sum(o.get[c] or 0 for o in self._seen) for c in ("met", "done"))
+        return 1 - done / met if met else 0.0
+
+
+def _against_broadcast(
+    few: pa.Table, candidates: DataFrame, scorer: Scorer, schema: str, size: int, report: SearchReport | None,
+) -> tuple[DataFrame, Broadcast | None]:
+    """k results of each task for each query of a block, and the broadcast block they come from."""
     spark = candidates.sparkSession
     if len(few) == 0:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], schema), None
     block = _Block.of(few, scorer)
     shared = spark.sparkContext.broadcast((block.ids, block.ks, block.matrix))
     del block
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = _Block(*shared.value)
-        best = _rank_batches(batches, asked, scorer)
+        best, met, done = _rank_batches(batches, asked, scorer, size)
         if best is not None:
-            yield from _emit(best, asked).to_batches()
-
-    # Every task sends k rows per query, so fewer, longer tasks shuffle less.
-    tasks = 4 * spark.sparkContext.defaultParallelism
-    return candidates.coalesce(tasks).mapInArrow(rank, schema)
-
-
-def _against_blocks(
-    queries: DataFrame, candidates: DataFrame, scorer: Scorer, schema: str,
-    query_block: int, candidate_block: int,
+            # The task's pairs are counted on its first row.
+            first = np.arange(len(best)) == 0
+            rows = _emit(best, asked).append_column("met", pa.array(first * met, pa.int64()))
+            yield from rows.append_column("done", pa.array(first * done, pa.int64())).to_batches()
+
+    # Every task sends k rows per query, so fewer, longer tasks shuffle less; each still
+    # scans a bounded number of splits, however few cores there are.
+    splits = candidates.rdd.getNumPartitions()
+    tasks = max(4 * spark.sparkContext.defaultParallelism, -(-splits // SPLITS))
+    rows = (candidates.coalesce(tasks) if splits > tasks else candidates).mapInArrow(rank, f"{schema}, met long, done long")
+    return (report.watch(rows) if report else rows).drop("met", "done"), shared
+
+
+def _block_by_block(
+    queries: DataFrame, candidates: DataFrame, scorer: Scorer, schema: str, size: int, limit: int,
+    candidate_block: int, report: SearchReport | None,
 ) -> DataFrame:
-    # Parquet footers answer these counts; ids are unique, so hash blocks come out even.
-    n_q = -(-queries.count() // query_block)
-    n_c = max(1, -(-candidates.count() // candidate_block))
-    spread = F.concat_ws(":", "source", "external_id")
-    left = queries.withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q))).withColumn(
-        "_cb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_c - 1).cast("bigint")))
-    )
-    right = candidates.withColumn("_cb", F.pmod(F.xxhash64(spread), F.lit(n_c))).withColumn(
-        "_qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_q - 1).cast("bigint")))
-    )
-
-    def rank(few: pa.Table, many: pa.Table) -> pa.Table:
-        empty = pa.table(
-            {
-                "query_id": few["query_id"].slice(0, 0),
-                "top_k": pa.array([], pa.int32()),
-                "source": pa.array([], pa.string()),
-                "external_id": pa.array([], pa.string()),
-                "score": pa.array([], pa.float64()),
-            }
-        )
-        if not len(few) or not len(many):
-            return empty
-        block = _Block.of(few, scorer)
-        batches = many.select(["source", "external_id", "vector"]).combine_chunks().to_batches(10_000)
-        return _emit(_rank_batches(iter(batches), block, scorer), block)
-
-    return left.groupBy("_qb", "_cb").cogroup(right.groupBy("_qb", "_cb")).applyInArrow(rank, schema)
+    """One scan of the candidates for each block of queries; its results are written before the next begins."""
+    # Ids are unique, so hash blocks come out even; a quarter more leaves room for chance.
+    n = -(-queries.count() * 5 // (4 * size))
+    placed = cut_lineage(queries.withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int")).repartitionByRange("_qb"))
+    found = []
+    for k in range(n):
+        few = placed.where(F.col("_qb") == k).drop("_qb").toArrow()
+        scored, shared = _against_broadcast(few, candidates, scorer, schema, candidate_block, report)
+        if shared is not None:
+            found.append(cut_lineage(_ranked(scored, limit).drop("rank")))
+            shared.destroy()
+    return reduce(DataFrame.unionByName, found)
 
 
 def concat_with_query(query: DataFrame, candidates: DataFrame, output: str = "pair") -> DataFrame:

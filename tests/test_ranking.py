@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairrank.operators.records import check_queries
-from pairrank.operators.topk import Scorer, concat_with_query, nearest, top_k_rows
+from pairrank.operators.topk import Scorer, SearchReport, concat_with_query, nearest, top_k_rows
 from pairrank.plans.featurize import Featurization
 from pairrank.plans.inference import Inference
 from pairrank.plans.models import scoring_strategy
@@ -182,3 +182,26 @@ def test_empty_store_is_an_error(spark, root, store):
     empty.save("protein", "kmer_v1", store.load("protein", "kmer_v1").limit(0), {"dim": 320})
     with pytest.raises(ValueError, match="no protein vectors"):
         Inference(empty).find_similar_proteins("MKWV")
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot"])
+def test_bounds_skip_blocks_and_change_nothing(spark, metric):
+    """Clustered vectors of many lengths, with zeros, copies and opposite directions."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, 16))
+    made = [(centres[k % 12] + 0.05 * rng.normal(size=16)) * (1 + k % 5) for k in range(1500)]
+    made += [np.zeros(16), np.zeros(16), -centres[0], *[centres[3]] * 40]
+    stored = [(f"s{k % 3}", str(k), [float(x) for x in v]) for k, v in enumerate(made)]
+    asked = [(k, [float(x) for x in made[k * 11]]) for k in range(130)] + [(500, [0.0] * 16), (501, [float(-x) for x in centres[5]])]
+    queries = spark.createDataFrame(asked, "query_id int, vector array<double>")
+    held = spark.createDataFrame(stored, VECTORS).repartition(3)
+    results = []
+    for how in ({"candidate_block": 10**6}, {"candidate_block": 20}, {"candidate_block": 20, "query_block": 60}):
+        report = SearchReport()
+        found = nearest(queries, held, Scorer(metric), top_k=7, report=report, **how)
+        results.append(sorted(map(tuple, found.collect())))
+        assert (report.pruned_share > 0.3) == (how["candidate_block"] == 20)
+    assert results[0] == results[1] == results[2] and len(results[0]) == 132 * 7
+    if metric == "cosine":
+        want = brute_force(asked, stored, 7)
+        assert [(r[0], r[2], r[4], r[3]) for r in results[1]] == [(q, *x[:3]) for q in sorted(want) for x in want[q]]
