@@ -17,6 +17,19 @@ def _require_rows(features: DataFrame, what: str) -> None:
         raise ValueError(f"the feature store holds no {what} vectors")
 
 
+#: What a manifest says about a run rather than about its vectors.
+NOT_COMPARED = ("generated_at", "spark_version", "row_count")
+
+
+def _require_same_space(stored: dict, featurizer: Featurizer, what: str) -> None:
+    """Queries must be featurised as the stored vectors were: same kind, same parameters, same width."""
+    own = featurizer.feature_manifest()
+    other = {k: (stored[k], own[k]) for k in own if k in stored and k not in NOT_COMPARED and stored[k] != own[k]}
+    if other:
+        told = ", ".join(f"{k} {a!r} against {b!r}" for k, (a, b) in sorted(other.items()))
+        raise ValueError(f"the stored {what} vectors were not made as the queries are: {told}")
+
+
 class Inference:
     """``queries``: query_id, query (text) and, per query, top_k (default 10).
 
@@ -76,6 +89,10 @@ class Inference:
     def _check_spaces(self) -> None:
         """A plain product needs vectors of one space; learned scorers join two."""
         if self.scorer.pair_model is not None:
+            if self.scorer.n_bits and self.scorer.n_bits != self.compound_featurizer.n_bits:
+                raise ValueError(
+                    f"the model was trained on {self.scorer.n_bits} bits, the queries have {self.compound_featurizer.n_bits}"
+                )
             return
         protein = self.store.load_manifest("protein", self.protein_version).get("dim")
         if protein is not None and protein != self.compound_featurizer.n_bits:
@@ -87,12 +104,14 @@ class Inference:
     def similar_proteins(self, queries: DataFrame) -> DataFrame:
         features = self.store.load("protein", self.protein_version)
         _require_rows(features, "protein")
+        _require_same_space(self.store.load_manifest("protein", self.protein_version), self.protein_featurizer, "protein")
         found = self._search(queries, "protein", self.protein_featurizer, features, Scorer("cosine"))
         return found.withColumn("similarity_metric", F.lit("cosine"))
 
     def similar_compounds(self, queries: DataFrame) -> DataFrame:
         features = self.store.load("compound", self.compound_version)
         _require_rows(features, "compound")
+        _require_same_space(self.store.load_manifest("compound", self.compound_version), self.compound_featurizer, "compound")
         scorer = Scorer("binary_cosine", n_bits=self.compound_featurizer.n_bits)
         found = self._search(queries, "compound", self.compound_featurizer, features, scorer)
         return found.withColumn("similarity_metric", F.lit("cosine"))

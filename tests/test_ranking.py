@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairrank.operators.records import check_queries
 from pairrank.operators.topk import Scorer, SearchReport, concat_with_query, nearest, top_k_rows
-from pairrank.plans.featurize import Featurization
+from pairrank.plans.featurize import Featurization, KmerEmbedding, QGramFingerprint
 from pairrank.plans.inference import Inference
 from pairrank.plans.models import scoring_strategy
 from pairrank.sources.feature_store import FeatureStore
@@ -205,3 +205,14 @@ def test_bounds_skip_blocks_and_change_nothing(spark, metric):
     if metric == "cosine":
         want = brute_force(asked, stored, 7)
         assert [(r[0], r[2], r[4], r[3]) for r in results[1]] == [(q, *x[:3]) for q in sorted(want) for x in want[q]]
+
+
+def test_queries_must_be_made_as_the_stored_vectors(spark, store):
+    for search, call, told in (
+        (Inference(store, compound_featurizer=QGramFingerprint(q=3)), "find_similar_compounds", "q 4 against 3"),
+        (Inference(store, compound_featurizer=QGramFingerprint(n_bits=64)), "find_similar_compounds", "n_bits 2048 against 64"),
+        (Inference(store, protein_featurizer=KmerEmbedding(k=2)), "find_similar_proteins", "k 3 against 2"),
+        (Inference(store, protein_featurizer=KmerEmbedding(max_length=5)), "find_similar_proteins", "max_seq_length None against 5"),
+    ):
+        with pytest.raises(ValueError, match=told):
+            getattr(search, call)("MKWV" if "protein" in call else "CCO")
