@@ -12,6 +12,7 @@ from pairrank.operators import keyed, records
 from pairrank.plans.ingest import Ingestion
 from pairrank.session import shared_dir
 from pairrank.sources import catalog, raw_files, readers
+from pairrank.sources.record_source import register_record_sources
 from pairrank.workload.registry import query
 from pairrank.workload.roles import compounds, interactions, proteins, table
 
@@ -92,6 +93,15 @@ def sdf_records_crlf(spark, sf_dir):
     return _parsed_molecules(readers.read_sdf(spark, _sdf_files(spark, parts, F.translate("p_name", " ", "="), "\r\n")))
 
 
+@query(SDF_SQL)
+def sdf_source(spark, sf_dir):
+    """The same through the ``sdf`` data source, in byte ranges smaller than most files."""
+    register_record_sources(spark)
+    parts = table(spark, sf_dir, "part")
+    folder = _sdf_files(spark, parts, F.translate("p_name", " ", "="), "\r\n")
+    return _parsed_molecules(readers.parse_sdf(spark.read.format("sdf").option("splitBytes", 50_000).load(folder), "record"))
+
+
 def _loaded_twice(spark, sf_dir):
     """The parts as SDF files, loaded; then with another structure, or for small parts with none, loaded again."""
     parts = table(spark, sf_dir, "part")

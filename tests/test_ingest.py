@@ -479,3 +479,70 @@ def test_checksums_are_those_of_the_run(spark, tmp_path, root):
         register_source("sums", Source("sums", write(tmp_path / f"{name}/m.sdf", text), "sdf", "compound", "v1"))
         seen.append(ingestion.run_pipeline("sums")["checksums"])
     assert all(set(c) == {"sha256"} for c in seen) and seen[0] != seen[1]
+
+
+# ------------------------------------------------------------------ record data sources
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("split", [7, 61, 1000, 10**6])
+def test_ranges_give_each_record_once(tmp_path, split, end):
+    """Blank names first and later, separators with blanks after them, and no separator at the end."""
+    from pairrank.sources import record_source
+
+    text = "".join(MOLECULE.format(name="" if k % 3 == 0 else f"M{k}", smiles="C" * (k + 1), key=f"K{k}") for k in range(9))
+    text = (text.replace("$$$$", "$$$$  ", 2) + "LAST\n").replace("\n", end)
+    path = tmp_path / "a.sdf"
+    path.write_bytes(text.encode())
+    ranges = record_source._ranges(record_source._files(str(path)), split)
+    got = [r for part in ranges for r in record_source.records(part, "sdf")]
+    assert [o for o, _ in got] == sorted({o for o, _ in got}) and len(got) == 10
+    assert [r.decode().split(end)[0] for _, r in got] == ["" if k % 3 == 0 else f"M{k}" for k in range(9)] + ["LAST"]
+    assert all(text.encode()[o:o + len(r)] == r for o, r in got)
+
+    fasta = tmp_path / "a.fasta"
+    fasta.write_bytes(("".join(f">P{k} x > y\nAC\n\nGT{'A' * k}\n" for k in range(20))).replace("\n", end).encode())
+    got = [r for part in record_source._ranges(record_source._files(str(fasta)), split) for r in record_source.records(part, "fasta")]
+    assert [r.split(b" ")[0] for _, r in got] == [f">P{k}".encode() for k in range(20)]
+
+
+def test_sdf_data_source(spark, tmp_path):
+    from pairrank.sources.readers import parse_fasta, parse_sdf
+    from pairrank.sources.record_source import register_record_sources
+
+    register_record_sources(spark)
+    records = [MOLECULE.format(name="", smiles="C", key="1"), ASPIRIN, MOLECULE.format(name="", smiles="CCC", key="3")]
+    write(tmp_path / "in/a.sdf", "".join(records))
+    write(tmp_path / "in/b.sdf.gz", "".join(records).replace("\n", "\r\n"))
+    write(tmp_path / "in/_skipped.sdf", ASPIRIN)
+    wanted = [(None, "C"), ("ASPIRIN", "CC(=O)Oc1ccccc1C(=O)O"), (None, "CCC")]
+    for path, times in ((f"{tmp_path}/in", 2), (f"{tmp_path}/in/*.sdf", 1), ((tmp_path / "in/b.sdf.gz").as_uri(), 1)):
+        rows = parse_sdf(spark.read.format("sdf").option("splitBytes", 100).load(path), "record").orderBy("file", "offset").collect()
+        assert [(r["external_id"], r["smiles"]) for r in rows] == wanted * times
+    (tmp_path / "none").mkdir()
+    assert spark.read.format("sdf").load(str(tmp_path / "none")).count() == 0
+    with pytest.raises(Exception, match="FileNotFound"):
+        spark.read.format("sdf").load(str(tmp_path / "nowhere")).count()
+    path = write(tmp_path / "p.fasta", INSULIN)
+    assert parse_fasta(spark.read.format("fasta").load(path), "record").first()["sequence"] == "MKWVTFISLLFLFSSAYSRGVFRR"
+
+
+def test_stream_of_records(spark, tmp_path):
+    from pairrank.sources.record_source import register_record_sources
+
+    register_record_sources(spark)
+    taken = []
+
+    def run():
+        rows = spark.readStream.format("fasta").load(str(tmp_path / "inbox"))
+        stream = rows.writeStream.foreachBatch(lambda batch, _: taken.extend(r["record"].split("\n")[0] for r in batch.collect()))
+        assert stream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+
+    first = write(tmp_path / "inbox/a.fasta", ">P1\nAA\n>P2\nCC\n")
+    os.utime(first, (1_000, 1_000))
+    run()
+    assert taken == [">P1", ">P2"]
+    write(tmp_path / "inbox/b.fasta", ">P3\nGG\n")
+    run()
+    run()
+    assert taken == [">P1", ">P2", ">P3"]
