@@ -184,6 +184,11 @@ def compare(groups: DataFrame) -> DataFrame:
     )
 
 
+def headline() -> Column:
+    """What splits are compared by, out of a row of :func:`evaluate`."""
+    return F.struct("threshold_free.auroc", "threshold_free.auprc", "threshold_based.f1", "threshold_based.accuracy", "n_samples")
+
+
 def side_by_side(comparison: DataFrame, splits: tuple[str, ...]) -> DataFrame:
     """A comparison turned: one row per metric, one column per split."""
     names = [c for c in comparison.columns if c != "split"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pairrank.functions.keys import surrogate_id
 from pairrank.operators.topk import MAX_K
 
+# Names of the entity types, and an interaction's columns with their defaults.
 ENTITY_TYPES = ("compound", "protein", "interaction")
 INTERACTION_DEFAULTS = {
     "interaction_type": ("string", "binds"),

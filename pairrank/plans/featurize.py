@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import time
 from abc import ABC, abstractmethod
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyspark
 from pyspark.sql import DataFrame, Observation
@@ -102,7 +103,7 @@ class ModelEmbedding(Featurizer):
 
     def __init__(
         self, name: str, dim: int, load: Callable[[], object],
-        embed: Callable[[object, list[str]], Iterable[Iterable[float]]], batch_size: int = BATCH_SIZE, max_length: int = MAX_LENGTH,
+        embed: Callable[[object, list[str]], Iterable[Sequence[float]]], batch_size: int = BATCH_SIZE, max_length: int = MAX_LENGTH,
     ) -> None:
         self.name, self.dim = name, dim
         self.load, self.embed = load, embed
@@ -116,14 +117,11 @@ class ModelEmbedding(Featurizer):
             model = load()
             for batch in batches:
                 texts = batch.to_pylist()
-                rows = [
-                    [float(x) for x in vector]
-                    for start in range(0, len(texts), size)
-                    for vector in embed(model, texts[start:start + size])
-                ]
+                rows = [v for start in range(0, len(texts), size) for v in embed(model, texts[start:start + size])]
                 if len(rows) != len(texts) or any(len(row) != dim for row in rows):
                     raise ValueError(f"the model must give {dim} numbers for each of {len(texts)} texts")
-                yield pa.array(rows, pa.list_(pa.float64()))
+                flat = np.asarray(rows, np.float64).ravel()
+                yield pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, dim), pa.int32()), pa.array(flat))
 
         cut = truncate(F.col(self.text), self.max_length)
         return df.select("external_id", "source", vectors(cut).alias("vector"))

@@ -27,6 +27,9 @@ def rows(found):
     return [(r["rank"], r["external_id"], r["score"]) for r in found.orderBy("query_id", "rank").collect()]
 
 
+# The small vectors of the next three tests and the scores they must give.
+
+
 def test_dot_scores(spark):
     stored = candidates(spark, [("a", [1.0, 0.0, 0.0]), ("b", [0.0, 1.0, 0.0]), ("c", [0.5, 0.5, 0.0])])
     found = nearest(ask(spark, [1.0, 0.0, 0.0]), stored, scoring_strategy("similarity"))
