@@ -34,7 +34,7 @@ ROUND_GUARD = 1e-6
 MAX_BROADCAST_BYTES = 64 << 20
 QUERY_BLOCK = 8192
 #: Candidates that share a bound, pivots of a batch, and queries below which bounds cost more than they save.
-CANDIDATE_BLOCK, PIVOTS, BOUNDED_QUERIES = 512, 16, 32
+CANDIDATE_BLOCK, PIVOTS, BOUNDED_QUERIES = 512, 16, 200
 PIECE_CELLS = 4_000_000
 #: Input splits that one task may scan.
 SPLITS = 64
