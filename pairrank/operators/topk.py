@@ -10,6 +10,9 @@ candidates (by their nearest of a few pivots, then by their angle to it) and bou
 query's best score in a block: by Cauchy-Schwarz with the block's norms, and by the
 triangle inequality of angles with the pivot. A query whose bound does not reach its k-th
 score so far, carried from block to block, skips the block. Results are the same.
+
+Binary fingerprints are not multiplied: their queries are an inverted index, see
+:mod:`pairrank.operators.postings`.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from pairrank.operators.postings import QueryIndex, bit_order, pack
 from pairrank.session import cut_lineage
 
 # Fixed value: largest top_k of a query.
@@ -36,6 +40,8 @@ QUERY_BLOCK = 8192
 #: Candidates that share a bound, pivots of a batch, and queries below which bounds cost more than they save.
 CANDIDATE_BLOCK, PIVOTS, BOUNDED_QUERIES = 512, 16, 200
 PIECE_CELLS = 4_000_000
+#: Candidates indexed together, and found rows that wait for a merge, at least.
+PACKED_ROWS, WAITING_ROWS = 2048, 4096
 #: Input splits that one task may scan.
 SPLITS = 64
 METRICS = ("dot", "cosine", "binary_cosine")
@@ -120,12 +126,14 @@ class Scorer:
         if self.pair_model is None and self.metric == "binary_cosine" and not self.n_bits:
             raise ValueError("binary_cosine needs n_bits")
 
+    @property
+    def by_postings(self) -> bool:
+        return self.pair_model is None and self.metric == "binary_cosine"
+
     def queries(self, column: pa.Array) -> np.ndarray:
         return _scatter(column, self.n_bits) if self.n_bits else _dense(column, None)
 
     def candidates(self, column: pa.Array, queries: np.ndarray) -> np.ndarray:
-        if self.pair_model is None and self.metric == "binary_cosine":
-            return _scatter(column, self.n_bits)
         return _dense(column, queries.shape[1] if self.pair_model is None and len(queries) else None)
 
     def score(self, queries: np.ndarray, norms: np.ndarray, candidates: np.ndarray) -> np.ndarray:
@@ -290,6 +298,65 @@ def _rank_batches(batches: Iterator[pa.RecordBatch], block: _Block, scorer: Scor
     return best, met, done
 
 
+def _first(queries: np.ndarray, scores: np.ndarray, rows: np.ndarray, ks: np.ndarray) -> np.ndarray:
+    """Places of the k best of each query; ties go to the earlier row."""
+    order = np.lexsort((rows, -scores, queries))
+    asked = queries[order]
+    return order[np.arange(len(asked)) - np.searchsorted(asked, asked) < ks[asked]]
+
+
+def _found(slab: pa.Table, rows: np.ndarray, queries: np.ndarray, scores: np.ndarray, seen: int) -> pa.Table:
+    """Result rows; ``_c`` numbers the candidates of a task."""
+    found = slab.select(["source", "external_id"]).take(pa.array(rows))
+    found = found.append_column("_q", pa.array(queries, pa.int64())).append_column("score", pa.array(scores, pa.float64()))
+    return found.append_column("_c", pa.array(rows + seen, pa.int64()))
+
+
+def _rank_sets(
+    batches: Iterator[pa.RecordBatch], ks: np.ndarray, words: np.ndarray, place: np.ndarray
+) -> tuple[pa.Table | None, int, int]:
+    """Running top-k of bit sets by binary cosine, the pairs met and the pairs verified."""
+    index, lead = QueryIndex(words), int(ks.max(initial=0))
+    lengths, reached = np.sqrt(index.sizes), np.full(len(ks), -np.inf)
+    best, first, waiting, seen, met, done = None, None, [], 0, 0, 0
+    for batch in batches:
+        ordered = pa.Table.from_batches([batch]).sort_by([("source", "ascending"), ("external_id", "ascending")])
+        for start in range(0, len(ordered), PACKED_ROWS):
+            slab = ordered.slice(start, PACKED_ROWS).combine_chunks()
+            held = pack(_array(slab["vector"]), place)
+            sizes = np.sqrt(np.bitwise_count(held).sum(axis=1))
+            for asked, rows, overlaps, pairs in index.matches(held):
+                met, done = met + pairs, done + len(asked)
+                scores = _round(overlaps / np.maximum(lengths[asked] * sizes[rows], 1.0))
+                good = np.flatnonzero((overlaps > 0) & (scores >= reached[asked]))
+                good = good[_first(asked[good], scores[good], rows[good], ks)]
+                if not len(good):
+                    continue
+                waiting.append(_found(slab, rows[good], asked[good], scores[good], seen))
+                if best is None or sum(map(len, waiting)) >= max(WAITING_ROWS, len(best) // 2):
+                    best, waiting = _best([*waiting, best] if best is not None else waiting, ks), []
+                    reached = _thresholds(best, ks)
+                    index.raise_floor(reached)
+            # Of the candidates that share no bit with a query, only the first by key can be in its result.
+            places = np.arange(min(lead, len(slab)))
+            none = _found(slab, places, np.zeros(len(places), np.int64), np.zeros(len(places)), seen)
+            first = none if first is None else pa.concat_tables([first, none])
+            first = first.sort_by(_KEYS).slice(0, lead)
+            seen += len(slab)
+    if first is None:
+        return None, met, done
+    tables = ([best] if best is not None else []) + waiting
+    best = _best(tables, ks) if tables else first.slice(0, 0)
+    asked = best["_q"].to_numpy()
+    short = np.flatnonzero(np.bincount(asked, minlength=len(ks)) < ks)
+    queries, rows = np.repeat(short, len(first)), np.tile(np.arange(len(first)), len(short))
+    taken = np.isin(queries * seen + first["_c"].to_numpy()[rows], asked * seen + best["_c"].to_numpy())
+    queries, rows = queries[~taken], rows[~taken]
+    rest = first.take(pa.array(rows, pa.int64()))
+    rest = rest.set_column(rest.schema.get_field_index("_q"), "_q", pa.array(queries, pa.int64()))
+    return _best([best, rest], ks), met, done
+
+
 def _emit(best: pa.Table, block: _Block) -> pa.Table:
     q = best["_q"]
     return pa.table(
@@ -386,13 +453,24 @@ def _against_broadcast(
     spark = candidates.sparkSession
     if len(few) == 0:
         return spark.createDataFrame([], schema), None
-    block = _Block.of(few, scorer)
-    shared = spark.sparkContext.broadcast((block.ids, block.ks, block.matrix))
-    del block
+    place = None
+    if scorer.by_postings:
+        few = few.combine_chunks()
+        column = _array(few["vector"])
+        place = bit_order(column, scorer.n_bits)
+        block = _Block(_array(few["query_id"]), few["top_k"].to_numpy().astype(np.int64), pack(column, place))
+    else:
+        block = _Block.of(few, scorer)
+    shared = spark.sparkContext.broadcast((block.ids, block.ks, block.matrix, place))
+    del block, place
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = _Block(*shared.value)
-        best, met, done = _rank_batches(batches, asked, scorer, size)
+        *sides, place = shared.value
+        asked = _Block(*sides)
+        if place is None:
+            best, met, done = _rank_batches(batches, asked, scorer, size)
+        else:
+            best, met, done = _rank_sets(batches, asked.ks, asked.matrix, place)
         if best is not None:
             # The task's pairs are counted on its first row.
             first = np.arange(len(best)) == 0

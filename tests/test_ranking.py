@@ -2,9 +2,12 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from pairrank.operators import postings as postings_module
+from pairrank.operators import topk as topk_module
 from pairrank.operators.records import check_queries
 from pairrank.operators.topk import Scorer, SearchReport, concat_with_query, nearest, top_k_rows
 from pairrank.plans.featurize import Featurization, KmerEmbedding, QGramFingerprint
@@ -211,6 +214,59 @@ def test_bounds_skip_blocks_and_change_nothing(spark, metric):
         assert [(r[0], r[2], r[4], r[3]) for r in results[1] if r[0] in want] == [(q, *x[:3]) for q in sorted(want) for x in want[q]]
 
 
+@pytest.mark.parametrize("postings", [0, 10**6])
+@pytest.mark.parametrize("how", [{}, {"query_block": 40}])
+def test_bit_sets_by_inverted_index(spark, monkeypatch, postings, how):
+    """Like sets, empty sets, repeated bits, copies, and queries with fewer matches than results."""
+    rng = random.Random(11)
+    kinds = [rng.sample(range(90), 20) for _ in range(8)]
+
+    def bits(k):
+        if k % 31 == 0:
+            return []
+        if k % 37 == 0:
+            return [95, 95]
+        return [b for b in kinds[k % 8] if rng.random() < 0.8] + rng.choices(range(90), k=3)
+
+    stored = [(f"s{k % 3}", str(k), bits(k)) for k in range(700)] + [("s0", f"copy{k}", kinds[2]) for k in range(40)]
+    asked = [(k, bits(k), 1 + k % 12) for k in range(110)] + [(500, kinds[2], 30), (501, [], 5), (502, [95], 40)]
+    wanted = []
+    for q, mine, k in asked:
+        scored = []
+        for source, key, theirs in stored:
+            common = len(set(mine) & set(theirs))
+            score = common / (math.sqrt(len(set(mine))) * math.sqrt(len(set(theirs)))) if common else 0.0
+            scored.append((-math.floor(score * 1e6 + 0.5 + 1e-6) / 1e6, source, key))
+        wanted += [(q, k, n, s, key, -score) for n, (score, s, key) in enumerate(sorted(scored)[:k], 1)]
+    queries = spark.createDataFrame(asked, "query_id int, vector array<int>, top_k int")
+    held = spark.createDataFrame(stored, "source string, external_id string, vector array<int>").repartition(3)
+    report = SearchReport()
+    found = nearest(queries, held, Scorer("binary_cosine", n_bits=96), report=report, **how)
+    got = sorted((r["query_id"], r["top_k"], r["rank"], r["source"], r["external_id"], r["score"]) for r in found.collect())
+    assert got == sorted((q, k, n, s, key, abs(score)) for q, k, n, s, key, score in wanted)
+    assert report.pruned_share > 0
+    # A task's own code, with small pieces and with the postings or the sizes as the only filter.
+    monkeypatch.setattr(postings_module, "POSTINGS_PER_PAIR", postings)
+    monkeypatch.setattr(postings_module, "PIECE_CELLS", 5000)
+    monkeypatch.setattr(topk_module, "WAITING_ROWS", 64)
+    sets = pa.array([b for _, b, _ in asked])
+    place = postings_module.bit_order(sets, 96)
+    words, ks = postings_module.pack(sets, place), np.array([k for *_, k in asked])
+    batch = pa.RecordBatch.from_pylist([{"source": s, "external_id": key, "vector": b} for s, key, b in stored])
+    best, met, done = topk_module._rank_sets(iter([batch.slice(0, 300), batch.slice(300)]), ks, words, place)
+    ids = [q for q, *_ in asked]
+    mine = [(ids[r["_q"]], r["source"], r["external_id"], r["score"]) for r in best.to_pylist()]
+    assert mine == [(q, s, key, abs(score)) for q, _, _, s, key, score in wanted]
+    assert met == len(asked) * len(stored) and done < met * (0.5 if postings else 1)
+
+
+def test_bits_outside_the_fingerprint_are_errors(spark):
+    query = spark.createDataFrame([(0, [0, 4])], "query_id int, vector array<int>")
+    stored = spark.createDataFrame([("s", "C1", [0, 1])], "source string, external_id string, vector array<int>")
+    with pytest.raises(ValueError, match="outside"):
+        nearest(query, stored, Scorer("binary_cosine", n_bits=4))
+
+
 def test_queries_must_be_made_as_the_stored_vectors(spark, store):
     for search, call, told in (
         (Inference(store, compound_featurizer=QGramFingerprint(q=3)), "find_similar_compounds", "q 4 against 3"),
