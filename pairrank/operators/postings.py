@@ -8,8 +8,8 @@ plus what the rest could add, and the sizes of both sets, must reach the pair's
 (Xiao et al. 2008). What is left is verified on packed words. Pairs without a common bit
 are never looked at; queries with too few matches get theirs, of score 0, at the end.
 
-Where sets are so dense that the postings would be longer than the packed words, the sizes
-alone choose the pairs to verify. Both ways return the same.
+Where a piece's sets are so dense that reading their postings costs more than a product of
+the two bit matrices, the product counts the overlaps. Both ways return the same.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 WORD_BITS = 64
-#: Cells (query by candidate) counted at a time, pairs verified at a time, and postings that cost as much as one pair's words.
-PIECE_CELLS, VERIFIED_PAIRS, POSTINGS_PER_PAIR = 1_000_000, 65_536, 8
+#: Cells (query by candidate) counted at a time, candidates of a first piece, pairs verified at a time, and postings that cost as much as one pair in a product.
+PIECE_CELLS, FIRST_ROWS, VERIFIED_PAIRS, POSTINGS_PER_PAIR = 1_000_000, 256, 65_536, 8
 #: Rounding may lift a score by half of its last digit.
 SLACK = 1e-6
 
@@ -45,29 +45,28 @@ def _flat(column: pa.Array, n_bits: int) -> np.ndarray:
     return flat.astype(np.int64)
 
 
-def pack(column: pa.Array, place: np.ndarray) -> np.ndarray:
-    """On-bit lists to rows of 64-bit words, bits in their places; repeated bits count once."""
+def bit_matrix(column: pa.Array, place: np.ndarray) -> np.ndarray:
+    """On-bit lists to rows of truth values, bits in their places; repeated bits count once."""
     flat = _flat(column, len(place))
     lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
     on = np.zeros((len(column), -(-len(place) // WORD_BITS) * WORD_BITS), dtype=bool)
     on[np.repeat(np.arange(len(column)), lengths), place[flat]] = True
-    return np.packbits(on, axis=1).view(np.uint64)
+    return on
 
 
-def _entries(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(size of each row, rows and places of the bits that are on, by row, then place)"""
-    on = np.unpackbits(words.view(np.uint8), axis=1).astype(bool)
-    rows, places = np.nonzero(on)
-    return on.sum(axis=1), rows.astype(np.int32), places.astype(np.int32)
+def pack(on: np.ndarray) -> np.ndarray:
+    return np.packbits(on, axis=1).view(np.uint64)
 
 
 class QueryIndex:
     """Packed queries and their postings, cut to the prefixes that the k-th scores allow."""
 
     def __init__(self, words: np.ndarray):
-        self.words = words
-        self.sizes, rows, places = _entries(words)
-        first = np.concatenate(([0], np.cumsum(self.sizes)))[:-1]
+        self.words, self._numbers = words, None
+        on = np.unpackbits(words.view(np.uint8), axis=1)
+        self.sizes = on.sum(axis=1, dtype=np.int64)
+        rows, places = (x.astype(np.int32) for x in np.nonzero(on))
+        first = np.cumsum(self.sizes) - self.sizes
         at = np.arange(len(rows)) - first[rows]
         order = np.argsort(places, kind="stable")
         self._query, self._place, self._at = rows[order], places[order], at[order].astype(np.int32)
@@ -82,42 +81,55 @@ class QueryIndex:
         self.lengths = np.bincount(self._place[kept], minlength=self.words.shape[1] * WORD_BITS)
         self.starts = np.cumsum(self.lengths) - self.lengths
 
-    def matches(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    def matches(self, on: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
         """For pieces of a block of candidates: queries, candidates and overlaps of all pairs that may reach the floor, and pairs met.
 
         Takes a floor raised between pieces into account.
         """
-        sizes, rows, places = _entries(words)
-        if not len(self.words):
-            return
-        step = max(1, PIECE_CELLS // len(self.words))
-        for start in range(0, len(words), step):
-            piece = slice(*np.searchsorted(rows, (start, start + step)))
-            part = sizes[start:start + step]
-            asked, found = self._likely(rows[piece] - start, places[piece], part)
-            overlaps = np.empty(len(asked), np.int64)
-            for at in range(0, len(asked), VERIFIED_PAIRS):
-                some = slice(at, at + VERIFIED_PAIRS)
-                common = self.words[asked[some]] & words[found[some] + start]
-                overlaps[some] = np.bitwise_count(common).sum(axis=1)
-            yield asked, found + start, overlaps, len(part) * len(self.words)
-
-    def _likely(self, rows: np.ndarray, places: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Queries and candidates of the pairs that no bound rules out, by candidate, then query."""
+        n, words, start = len(self.words), pack(on), 0
+        while n and start < len(on):
+            # Without scores to reach nothing is ruled out, so the first pieces are small.
+            step = max(1, min(PIECE_CELLS // n, len(on) if self.floor.any() else FIRST_ROWS))
+            part = on[start:start + step]
+            asked, found, overlaps = self._piece(part, words[start:start + step])
+            yield asked, found + start, overlaps, n * len(part)
+            start += step
+
+    def _piece(self, on: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sizes = on.sum(axis=1, dtype=np.int64)
+        if int(on.sum(axis=0) @ self.lengths) > POSTINGS_PER_PAIR * len(self.words) * len(on):
+            return self._multiplied(on, sizes)
         n = len(self.words)
+        rows, places = np.nonzero(on)
         lengths = self.lengths[places]
-        total = int(lengths.sum())
-        if total > POSTINGS_PER_PAIR * n * len(sizes):
-            met = np.minimum(self.sizes, sizes[:, None])
-            wanted = self.floor * np.sqrt(self.sizes * sizes[:, None])
-            found, asked = np.nonzero((met > 0) & (met >= wanted - 1e-9))
-            return asked, found
         begin = np.repeat(self.starts[places] - np.cumsum(lengths) + lengths, lengths)
-        cells = np.repeat(rows, lengths) * np.int64(n) + self.posted[begin + np.arange(total)]
-        counts = np.bincount(cells, minlength=1)
-        met = np.flatnonzero(counts)
-        found, asked = np.divmod(met, n)
-        most = np.minimum(counts[met] + self.need[asked] - 1, np.minimum(self.sizes[asked], sizes[found]))
-        wanted = self.floor[asked] * np.sqrt(self.sizes[asked] * sizes[found])
-        kept = most >= wanted - 1e-9
-        return asked[kept], found[kept]
+        cells = np.repeat(rows, lengths) * n + self.posted[begin + np.arange(len(begin))]
+        counts = np.bincount(cells, minlength=n * len(on)).reshape(len(on), n)
+        # What the piece's smallest set would have to share (empty ones share nothing); most pairs end here.
+        smallest = min(sizes[sizes > 0], default=1)
+        least = np.ceil(self._wanted(self.floor, self.sizes, smallest)) - self.need + 1
+        found, asked = np.nonzero(counts >= np.maximum(1, least).astype(np.int64))
+        counts = counts[found, asked]
+        most = np.minimum(counts + self.need[asked] - 1, np.minimum(self.sizes[asked], sizes[found]))
+        kept = most >= self._wanted(self.floor[asked], self.sizes[asked], sizes[found])
+        asked, found, overlaps = asked[kept], found[kept], counts[kept]
+        # Where every bit of a query is posted, the count is the overlap.
+        open_ = np.flatnonzero(self.need[asked] > 1)
+        for at in range(0, len(open_), VERIFIED_PAIRS):
+            some = open_[at:at + VERIFIED_PAIRS]
+            overlaps[some] = np.bitwise_count(self.words[asked[some]] & words[found[some]]).sum(axis=1)
+        return asked, found, overlaps
+
+    def _multiplied(self, on: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The piece's pairs by a product; sums of ones are exact in float32 up to 2**24."""
+        if self._numbers is None:
+            self._numbers = np.unpackbits(self.words.view(np.uint8), axis=1).astype(np.float32)
+        common = on.astype(np.float32) @ self._numbers.T
+        kept = (common > 0) & (common >= self._wanted(self.floor, self.sizes, sizes[:, None]))
+        found, asked = np.nonzero(kept)
+        return asked, found, common[found, asked].astype(np.int64)
+
+    @staticmethod
+    def _wanted(floor: np.ndarray, some: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """The overlap at which two sets reach the floor, less what rounding of the product may take."""
+        return floor * np.sqrt(some * others) - 1e-9

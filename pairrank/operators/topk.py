@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from pairrank.operators.postings import QueryIndex, bit_order, pack
+from pairrank.operators.postings import QueryIndex, bit_matrix, bit_order, pack
 from pairrank.session import cut_lineage
 
 # Fixed value: largest top_k of a query.
@@ -323,8 +323,8 @@ def _rank_sets(
         ordered = pa.Table.from_batches([batch]).sort_by([("source", "ascending"), ("external_id", "ascending")])
         for start in range(0, len(ordered), PACKED_ROWS):
             slab = ordered.slice(start, PACKED_ROWS).combine_chunks()
-            held = pack(_array(slab["vector"]), place)
-            sizes = np.sqrt(np.bitwise_count(held).sum(axis=1))
+            held = bit_matrix(_array(slab["vector"]), place)
+            sizes = np.sqrt(held.sum(axis=1))
             for asked, rows, overlaps, pairs in index.matches(held):
                 met, done = met + pairs, done + len(asked)
                 scores = _round(overlaps / np.maximum(lengths[asked] * sizes[rows], 1.0))
@@ -458,7 +458,7 @@ def _against_broadcast(
         few = few.combine_chunks()
         column = _array(few["vector"])
         place = bit_order(column, scorer.n_bits)
-        block = _Block(_array(few["query_id"]), few["top_k"].to_numpy().astype(np.int64), pack(column, place))
+        block = _Block(_array(few["query_id"]), few["top_k"].to_numpy().astype(np.int64), pack(bit_matrix(column, place)))
     else:
         block = _Block.of(few, scorer)
     shared = spark.sparkContext.broadcast((block.ids, block.ks, block.matrix, place))

@@ -245,13 +245,14 @@ def test_bit_sets_by_inverted_index(spark, monkeypatch, postings, how):
     got = sorted((r["query_id"], r["top_k"], r["rank"], r["source"], r["external_id"], r["score"]) for r in found.collect())
     assert got == sorted((q, k, n, s, key, abs(score)) for q, k, n, s, key, score in wanted)
     assert report.pruned_share > 0
-    # A task's own code, with small pieces and with the postings or the sizes as the only filter.
+    # A task's own code, with small pieces, by products alone and by postings alone.
     monkeypatch.setattr(postings_module, "POSTINGS_PER_PAIR", postings)
     monkeypatch.setattr(postings_module, "PIECE_CELLS", 5000)
+    monkeypatch.setattr(postings_module, "FIRST_ROWS", 16)
     monkeypatch.setattr(topk_module, "WAITING_ROWS", 64)
     sets = pa.array([b for _, b, _ in asked])
     place = postings_module.bit_order(sets, 96)
-    words, ks = postings_module.pack(sets, place), np.array([k for *_, k in asked])
+    words, ks = postings_module.pack(postings_module.bit_matrix(sets, place)), np.array([k for *_, k in asked])
     batch = pa.RecordBatch.from_pylist([{"source": s, "external_id": key, "vector": b} for s, key, b in stored])
     best, met, done = topk_module._rank_sets(iter([batch.slice(0, 300), batch.slice(300)]), ks, words, place)
     ids = [q for q, *_ in asked]
