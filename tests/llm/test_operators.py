@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import random
+import string
 import re
 
 import numpy as np
@@ -234,12 +235,61 @@ def test_secrets(docs, texts, odd, empty):
     assert secret_scan.fit(odd).threshold > 1
 
 
+def planted_secrets(seed=4):
+    """Texts with one key each, without any keyword, and texts with runs that are no keys."""
+    rng = random.Random(seed)
+    b62 = string.ascii_letters + string.digits
+    draw = lambda alphabet, n: "".join(rng.choices(alphabet, k=n - 1)) + str(rng.randint(2, 7))
+    keys = [draw(b62, 28) for _ in range(40)] + [draw("0123456789ABCDEF", 32) for _ in range(40)] + [draw(b62, 90) for _ in range(20)]
+    plain = [f"{rng.randint(100, 250)}.{rng.randint(100, 250)}.{rng.randint(10, 99)}.{rng.randint(10, 99)}" for _ in range(60)]
+    plain += [f"mail{rng.randint(0, 9)}.example.com" for _ in range(40)]
+    return [f"we sent Bearer {k} to them" if n % 2 else f"the old one was {k} in the file" for n, k in enumerate(keys)], [f"write to {p} today" for p in plain]
+
+
+def test_network_adds_keys_without_keyword(spark, docs):
+    model = secret_scan.fit(docs)
+    assert model.recall >= secret_scan.RECALL and 0.8 < model.precision <= 1 and 0 < model.threshold < 1
+    keys, plain = planted_secrets()
+    frame = spark.createDataFrame([(k, t, t in keys) for k, t in enumerate(keys + plain)], "doc_id int, text string, secret boolean")
+    caught = {True: 0, False: 0}
+    for r in secret_scan.scan(frame, model).collect():
+        assert r.base == brute_base(r.text)
+        caught[r.secret] += "network" in r.spans or (r.secret and bool(r.base))
+    assert caught[True] >= 90 and caught[False] <= 2
+    # The spans are those that a plain loop over candidates and their windows gives.
+    for t in keys[::9] + plain[::9]:
+        spans = secret_scan.base_spans(t)
+        for a, b in secret_scan.candidates(t, spans):
+            peak = np.max([model.network.forward(w[None])[2][0] for w in secret_scan.windows(t, a, b)], axis=0)
+            logit = model.slope * (peak @ model.network.weights["out"] + model.network.weights["bias"][0]) + model.shift
+            spans = [*spans, (a, 3, b)] if 1 / (1 + np.exp(-logit)) >= model.threshold else spans
+        said = secret_scan.scan(spark.createDataFrame([(t,)], "text string"), model).first().spans
+        assert said == ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
+
+
+def test_windows_cover_a_long_candidate():
+    body = "".join(chr(97 + k % 23) + str(k % 10) for k in range(100))
+    text = f"see {body} there"
+    parts = list(secret_scan.windows(text, 4, 4 + len(body)))
+    step = secret_scan.BODY - secret_scan.REACH + 1
+    assert len(parts) == len(range(0, len(body) - secret_scan.REACH + 1, step))
+    assert b"".join(bytes(p[secret_scan.LEFT:secret_scan.LEFT + step]) for p in parts).startswith(bytes(int(secret_scan._CODE[ord(c)]) for c in body))
+
+
+def test_platt_gives_chances():
+    rng = np.random.default_rng(1)
+    odds = rng.normal(0, 3, 20000)
+    truth = (rng.random(20000) < 1 / (1 + np.exp(-(0.5 * odds - 1)))).astype(float)
+    slope, shift = secret_scan.platt(odds, truth)
+    assert abs(slope - 0.5) < 0.05 and abs(shift + 1) < 0.1
+
+
 def test_secret_network_learns_the_shape():
     rng = random.Random(2)
     value = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
     plain = lambda: f"mail{rng.randint(1, 9999)}.example.com"
     lines = [f"it was {v} there" for v in itertools.chain((value() for _ in range(200)), (plain() for _ in range(200)))]
-    codes = np.array([secret_scan.window(t, 7, len(t) - 6) for t in lines])
+    codes = np.array([next(secret_scan.windows(t, 7, len(t) - 6)) for t in lines])
     truth = np.repeat([1.0, 0.0], 200)
     odd_rows = np.arange(400) % 2 == 1
     network = secret_scan.CharNetwork().train(codes[~odd_rows], truth[~odd_rows])
