@@ -28,6 +28,7 @@ HELD_OUT, HELD_PART = 3, 1
 EPOCHS, BATCH, RATE = 12, 64, 0.5
 #: Share of right answers that the rejection threshold keeps.
 KEPT_RIGHT = 0.995
+TEMPERATURES = np.geomspace(0.01, 20, 160)
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.arange(256, dtype=np.uint32)
@@ -74,10 +75,14 @@ def softmax(logits: np.ndarray) -> np.ndarray:
 
 
 def train(counts: np.ndarray, labels: np.ndarray, languages: list[str], seed: int = 5) -> LanguageModel:
-    """Fits on rows of n-gram counts; every fifth row calibrates only (all do both if few)."""
+    """Fits on rows of n-gram counts, which become shares in place; every fifth row calibrates only (all do both if few).
+
+    The temperature is that of least loss against smoothed labels: each row leaves the wrong languages a share of
+    1 / (rows + 2), so that faultless answers on a few rows do not pass for certainty.
+    """
     rng = np.random.default_rng(seed)
     n_languages = len(languages)
-    share = counts / np.maximum(1, counts.sum(axis=1, keepdims=True))
+    share = np.divide(counts, np.maximum(1, counts.sum(axis=1, keepdims=True)), out=counts)
     calibrate = np.arange(len(labels)) % 5 == 4
     if len(labels) < 50:
         fit, calibrate = np.arange(len(labels)), np.ones(len(labels), bool)
@@ -103,11 +108,13 @@ def train(counts: np.ndarray, labels: np.ndarray, languages: list[str], seed: in
             bias -= rate * error.sum(axis=0)
             embedding -= rate * 10 * step
     table = (embedding @ weight).astype(np.float64) * 10
-    logits = share[calibrate] @ table + bias
+    checked = np.arange(len(labels))[calibrate]
+    logits = np.concatenate([share[checked[k:k + BATCH]] @ table + bias for k in range(0, len(checked), BATCH)])
     right = labels[calibrate]
-    grid = np.geomspace(0.05, 5, 40)
-    loss = [-np.log(softmax(logits / t)[np.arange(len(right)), right] + 1e-12).mean() for t in grid]
-    temperature = float(grid[int(np.argmin(loss))])
+    doubt = 1 / (len(right) + 2)
+    wanted = np.where(np.eye(n_languages)[right] > 0, 1 - doubt, doubt / max(1, n_languages - 1))
+    loss = [-(wanted * np.log(softmax(logits / t) + 1e-300)).sum(axis=1).mean() for t in TEMPERATURES]
+    temperature = float(TEMPERATURES[int(np.argmin(loss))])
     chance = softmax(logits / temperature)
     good = chance.max(axis=1)[chance.argmax(axis=1) == right]
     threshold = float(np.quantile(good, 1 - KEPT_RIGHT)) if len(good) else 0.0
@@ -155,7 +162,9 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
     """``docs`` with ``lang_pred``, ``score`` (its probability, 12 digits) and ``rejected``.
 
     Texts that are null or hold no letter are ``und`` with score 0, rejected. ``rejected``
-    marks answers below the calibrated threshold. Columns of these names are replaced.
+    marks answers below the calibrated threshold. Each row is judged alone, so equal texts
+    get equal answers, whatever their ids; of equally likely languages the first by name
+    wins. Columns of these names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

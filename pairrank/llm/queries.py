@@ -117,7 +117,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "lang")
     model = langid.fit(docs)
     held_out = F.coalesce(langid.fold(F.col("doc_id"), langid.HELD_OUT) == langid.HELD_PART, F.lit(False))
-    return langid.predict(docs.drop("lang"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return langid.predict(docs.drop("lang"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
 @query

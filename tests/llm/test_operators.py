@@ -417,6 +417,23 @@ def test_language(docs, odd, empty, texts):
     got = langid.predict(docs, model)
     held = got.where(langid.fold(got.doc_id, 3) == 1).collect()
     assert len(held) > 200 and np.mean([r.lang_pred == r.lang for r in held]) > 0.98
+    assert langid.TEMPERATURES[0] < model.temperature < langid.TEMPERATURES[-1] and 0 < model.threshold < 1
+    right = [r.rejected for r in held if r.lang_pred == r.lang]
+    assert np.mean(right) < 0.05
+    # Counts, shares and the softmax, written out.
+    for r in held[:20]:
+        grams = collections.Counter()
+        codes = re.sub(" +", " ", " " + "".join(chr(c + 32) if 65 <= c <= 90 else " " if c < 65 or 91 <= c <= 96 or 123 <= c <= 127 else chr(c) for c in r.text.encode()) + " ")
+        for size in (2, 3, 4):
+            for k in range(len(codes) - size + 1):
+                h = ord(codes[k])
+                for c in codes[k + 1:k + size]:
+                    h = (h * 0x01000193) % 2**32 ^ ord(c)
+                grams[(h * 2654435761) % 2**32 >> 18] += 1
+        logit = sum(n * model.table[g] for g, n in grams.items()) / sum(grams.values()) + model.bias
+        power = np.exp((logit - logit.max()) / model.temperature)
+        assert r.score == pytest.approx(power.max() / power.sum(), abs=1e-9) and r.lang_pred == model.languages[int(logit.argmax())]
+        assert r.rejected == (r.score < model.threshold) or abs(r.score - model.threshold) < 1e-9
     strange = {r.doc_id: r for r in langid.predict(odd, model).collect()}
     assert {strange[i].lang_pred for i in (1, 2, 3, 10)} == {"und"} and strange[12].lang_pred in model.languages
     assert langid.predict(empty, langid.fit(empty)).count() == 0
