@@ -8,6 +8,11 @@ the next val, the rest train. Only two cut points per label are needed, so the p
 3. compares every row's hash with its label's cut points.
 
 The hash spreads any label evenly over the prefixes, so a hot label is no hot task.
+
+Where rows of a group must stay together, groups of equal size are the classes: seats are
+dealt to group sizes until the rows wanted are met, and each size's groups are cut in the
+same way. Sizes of groups that add up to n rows are at most sqrt(2n) in number, so the
+driver sees a short table whatever the number of groups.
 """
 
 from __future__ import annotations
@@ -17,6 +22,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pairrank.session import cut_lineage
+
 PREFIX_DIGITS = 4
 SPLITS = ("train", "val", "test")
 # Default shares and seed.
@@ -59,28 +66,29 @@ def hash_order(key, seed: int) -> Column:
 def stratified_split(
     df: DataFrame, label: str = "label", key: str = "key", test_size: float = TEST_SIZE,
     val_size: float = VAL_SIZE, seed: int = SEED, group_key: str | Column | None = None,
+    max_classes: int = 1_000_000,
 ) -> DataFrame:
     """Adds ``split``. ``key`` must be unique; the result depends on nothing else.
 
-    A null label or a null key is an error: such a row has no class or no place.
+    A null label or a null key is an error: such a row has no class or no place. So are more
+    than ``max_classes`` labels, since one row for each reaches the driver.
 
-    ``group_key`` keeps rows of one group (say, one compound) in one split; sizes are then
-    met in expectation only.
+    ``group_key`` keeps rows of one group (say, one compound) in one split instead: labels
+    and row keys then play no part, see :func:`grouped_split`.
     """
     if group_key is not None:
-        return _grouped_split(df, group_key, test_size, val_size, seed)
+        return grouped_split(df, group_key, test_size, val_size, seed)
     keyed = df.select(F.col(label).alias("_l"), hash_order(F.col(key), seed).alias("_h")).withColumn(
         "_p", F.substring("_h", 1, PREFIX_DIGITS)
     )
     # At most 65,536 rows per class, used twice.
     prefixes = keyed.groupBy("_l", "_p").agg(F.count(F.lit(1)).alias("_n")).persist()
     try:
-        # One row per class; the classes of a binary classifier are 0 and 1.
         class_rows = prefixes.groupBy("_l").agg(
             F.sum("_n").alias("n"), F.sum(F.when(F.col("_p").isNull(), F.col("_n")).otherwise(0)).alias("keyless"),
-        ).limit(1001).collect()
-        if len(class_rows) > 1000:
-            raise ValueError("more than 1000 classes: is this a class column?")
+        ).limit(max_classes + 1).collect()
+        if len(class_rows) > max_classes:
+            raise ValueError(f"more than {max_classes} classes: is this a class column?")
         if not class_rows:
             return df.withColumn("split", F.lit(None).cast("string"))
         if any(r["_l"] is None or r["keyless"] for r in class_rows):
@@ -127,14 +135,66 @@ def _cut_points(spark: SparkSession, keyed, prefixes, sizes: dict, label_type) -
     return spark.createDataFrame(rows, f"_l {kind}, _test_cut string, _val_cut string")
 
 
-def _grouped_split(df: DataFrame, group_key: str | Column, test_size: float, val_size: float, seed: int) -> DataFrame:
+def deal_groups(counts: dict[int, int], wanted: int) -> dict[int, int]:
+    """How many groups of each size to take, so that their rows come as near to ``wanted`` as they can from below.
+
+    Each size first gives its share, rounded down. What is missing is made up by one group
+    more of the sizes that lost most by rounding, then by groups from the largest size that
+    still fits to the smallest. If any groups of one row are left, the rows are met exactly.
+    """
+    total = sum(size * n for size, n in counts.items())
+    taken = {size: n * wanted // total for size, n in counts.items()} if total else {}
+    missing = wanted - sum(size * n for size, n in taken.items())
+    for size in sorted(taken, key=lambda size: (-(counts[size] * wanted % total), size)):
+        if size <= missing and taken[size] < counts[size]:
+            taken[size] += 1
+            missing -= size
+    for size in sorted(taken, reverse=True):
+        more = min(counts[size] - taken[size], missing // size)
+        taken[size] += more
+        missing -= more * size
+    return taken
+
+
+def group_seats(counts: dict[int, int], test_size: float = TEST_SIZE, val_size: float = VAL_SIZE) -> dict[int, tuple[int, int, int]]:
+    """group size -> (groups, those in test, those in val)"""
+    total = sum(size * n for size, n in counts.items())
+    n_test = math.ceil(test_size * total)
+    n_val = math.ceil(val_size / (1 - test_size) * (total - n_test))
+    test = deal_groups(counts, n_test)
+    val = deal_groups({size: n - test[size] for size, n in counts.items()}, n_val)
+    return {size: (n, test[size], val[size]) for size, n in counts.items()}
+
+
+def grouped_split(
+    df: DataFrame, group_key: str | Column, test_size: float = TEST_SIZE, val_size: float = VAL_SIZE, seed: int = SEED,
+) -> DataFrame:
+    """Adds ``split``; all rows of a group get the same. A null group is an error.
+
+    Test and val hold the rows wanted, or fewer by less than the smallest group left over. A
+    group larger than its split's share, such as one with a third of all rows, is in train.
+    Only groups outside train meet the rows again, in one equi-join; the rest is train.
+    """
+    spark = df.sparkSession
     group = F.col(group_key) if isinstance(group_key, str) else group_key
-    head = F.conv(F.substring(hash_order(group, seed), 1, 8), 16, 10).cast("double")
-    share = head / float(1 << 32)
-    return df.withColumn(
-        "split",
-        F.when(share < test_size, "test").when(share < test_size + val_size, "val").otherwise("train"),
+    keyed = df.withColumn("_g", group)
+    groups = cut_lineage(
+        keyed.groupBy("_g").agg(F.count(F.lit(1)).alias("_l"))
+        .withColumn("_h", hash_order(F.col("_g"), seed)).withColumn("_p", F.substring("_h", 1, PREFIX_DIGITS))
+    )
+    counts = {r["_l"]: r["n"] for r in groups.groupBy("_l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not groups.where(F.col("_g").isNull()).isEmpty():
+        raise ValueError("rows without a group cannot be split: drop them first")
+    sizes = {size: seats for size, seats in group_seats(counts, test_size, val_size).items() if seats[1] or seats[2]}
+    if not sizes:
+        return df.withColumn("split", F.lit("train"))
+    prefixes = groups.groupBy("_l", "_p").agg(F.count(F.lit(1)).alias("_n"))
+    cuts = _cut_points(spark, groups, prefixes, sizes, groups.schema["_l"].dataType)
+    chosen = groups.join(F.broadcast(cuts), "_l").where(F.col("_h") <= F.greatest("_test_cut", "_val_cut")).select(
+        F.col("_g").alias("_chosen"), F.when(F.col("_h") <= F.col("_test_cut"), "test").otherwise("val").alias("_part")
     )
+    placed = keyed.join(chosen, F.col("_g") == F.col("_chosen"), "left")
+    return placed.withColumn("split", F.coalesce("_part", F.lit("train"))).select(*df.columns, "split")
 
 
 def split_overlap(rows: DataFrame, content: list[str], split: str = "split") -> DataFrame:

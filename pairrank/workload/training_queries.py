@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from pairrank.operators import aggregates, keyed, metrics
-from pairrank.operators.split import split_metadata, split_overlap, stratified_split
+from pairrank.operators.split import grouped_split, split_metadata, split_overlap, stratified_split
 from pairrank.operators.topk import Scorer, nearest
 from pairrank.plans.models import BoostedTrees
 from pairrank.session import cut_lineage, shared_dir, spread
@@ -132,6 +132,50 @@ def stratified_split_query(spark, sf_dir):
     return _split_labels(spark, sf_dir).select("key", "label", "split")
 
 
+def _deal_sql(name: str, counts: str, wanted: str) -> str:
+    """Groups taken of each size: shares rounded down, then two walks over the sizes that make up what is missing."""
+    return f"""
+    {name}_0 AS (
+      SELECT size, n, n * want // total AS taken, n * want % total AS rest, want
+      FROM {counts}, (SELECT SUM(size * n)::BIGINT AS total FROM {counts}), (SELECT {wanted} AS want)),
+    {name}_1 AS (SELECT *, ROW_NUMBER() OVER (ORDER BY rest DESC, size) AS k FROM {name}_0),
+    {name}_2 AS (
+      SELECT 0::BIGINT AS k, 0::BIGINT AS size, 0::BIGINT AS more, MAX(want) - SUM(size * taken)::BIGINT AS missing FROM {name}_0
+      UNION ALL
+      SELECT s.k, s.size, m, w.missing - s.size * m FROM {name}_2 w JOIN {name}_1 s ON s.k = w.k + 1,
+        LATERAL (SELECT CASE WHEN s.size <= w.missing AND s.taken < s.n THEN 1 ELSE 0 END::BIGINT AS m)),
+    {name}_3 AS (
+      SELECT s.size, s.n, s.taken + w.more AS taken, ROW_NUMBER() OVER (ORDER BY s.size DESC) AS k FROM {name}_1 s JOIN {name}_2 w ON s.k = w.k),
+    {name}_4 AS (
+      SELECT 0::BIGINT AS k, 0::BIGINT AS size, 0::BIGINT AS more, (SELECT missing FROM {name}_2 ORDER BY k DESC LIMIT 1) AS missing
+      UNION ALL
+      SELECT s.k, s.size, m, w.missing - s.size * m FROM {name}_4 w JOIN {name}_3 s ON s.k = w.k + 1,
+        LATERAL (SELECT least(s.n - s.taken, w.missing // s.size) AS m)),
+    {name} AS (SELECT s.size, s.n, s.taken + w.more AS taken FROM {name}_3 s JOIN {name}_4 w ON s.k = w.k)"""
+
+
+@query(
+    f"""
+    WITH RECURSIVE g AS (SELECT l_suppkey, COUNT(*) AS size FROM lineitem GROUP BY l_suppkey),
+    c AS (SELECT size, COUNT(*) AS n FROM g GROUP BY size),
+    w AS (SELECT COUNT(*) AS total, CEIL(0.15::DOUBLE * COUNT(*))::BIGINT AS test FROM lineitem),
+    {_deal_sql("t", "c", "(SELECT test FROM w)")},
+    r AS (SELECT size, n - taken AS n FROM t),
+    {_deal_sql("v", "r", "(SELECT CEIL(0.15::DOUBLE / (1 - 0.15::DOUBLE) * (total - test))::BIGINT FROM w)")},
+    o AS (SELECT l_suppkey, size, ROW_NUMBER() OVER (PARTITION BY size ORDER BY md5('42:' || l_suppkey)) AS place FROM g),
+    p AS (
+      SELECT l_suppkey, CASE WHEN place <= t.taken THEN 'test' WHEN place <= t.taken + v.taken THEN 'val' ELSE 'train' END AS split
+      FROM o JOIN t ON o.size = t.size JOIN v ON o.size = v.size)
+    SELECT l_orderkey, l_linenumber, l.l_suppkey, split FROM lineitem l JOIN p ON l.l_suppkey = p.l_suppkey
+    """,
+    name="grouped_split",
+)
+def grouped_split_query(spark, sf_dir):
+    """Line items split so that a supplier's rows stay together; sizes of the splits are those wanted."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    return grouped_split(rows, "l_suppkey")
+
+
 @query(
     f"""
     WITH {SPLIT},

@@ -1,10 +1,12 @@
+import hashlib
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from pairrank.operators import keyed, metrics
-from pairrank.operators.split import split_overlap, split_sizes, stratified_split
+from pairrank.operators.split import deal_groups, group_seats, grouped_split, split_overlap, split_sizes, stratified_split
 from pairrank.plans.inference import Inference
 from pairrank.plans.models import BoostedTrees, scoring_strategy
 from pairrank.plans.training import Training, TrainingData
@@ -106,8 +108,57 @@ def test_split_is_exact_disjoint_and_stable(spark, partitions):
 
 def test_group_split_keeps_groups_together(spark):
     rows = spark.range(600).select("id", (F.col("id") % 60).alias("g"), (F.col("id") % 2).cast("int").alias("label"))
-    got = stratified_split(rows, key="id", group_key="g").groupBy("g").agg(F.count_distinct("split").alias("n"))
-    assert got.filter("n > 1").count() == 0
+    got = stratified_split(rows, key="id", group_key="g")
+    assert got.groupBy("g").agg(F.count_distinct("split").alias("n")).filter("n > 1").count() == 0
+    assert {r["split"]: r["count"] for r in got.groupBy("split").count().collect()} == {"train": 420, "val": 90, "test": 90}
+
+
+def test_group_split_meets_sizes_beside_a_hot_group(spark):
+    """One group holds a third of the rows, the others have many sizes."""
+    rng = random.Random(6)
+    sizes = [500] + [rng.choice([1, 2, 3, 5, 8, 40]) for _ in range(120)]
+    rows = [(f"g{g}", k, "x") for g, n in enumerate(sizes) for k in range(n)]
+    total = len(rows)
+    results = set()
+    for partitions in (1, 6):
+        df = spark.createDataFrame(rows, "g string, k int, part string").repartition(partitions)
+        got = grouped_split(df, "g").collect()
+        where = {}
+        for r in got:
+            where.setdefault(r["g"], set()).add(r["split"])
+        assert len(got) == total and all(len(v) == 1 for v in where.values()) and where["g0"] == {"train"}
+        n = [sum(r["split"] == s for r in got) for s in ("test", "val")]
+        n_test = math.ceil(0.15 * total)
+        assert n == [n_test, math.ceil(0.15 / (1 - 0.15) * (total - n_test))]
+        results.add(tuple(sorted((g, *v) for g, v in where.items())))
+    assert len(results) == 1
+    # Within a size, the groups of least hash are test, the next val: checked against a plain sort.
+    order = {}
+    for g, n in enumerate(sizes):
+        order.setdefault(n, []).append((hashlib.md5(f"42:g{g}".encode()).hexdigest(), f"g{g}"))
+    for n, (_, test, val) in group_seats({n: len(v) for n, v in order.items()}).items():
+        names = [g for _, g in sorted(order[n])]
+        assert [where[g] for g in names] == [{"test"}] * test + [{"val"}] * val + [{"train"}] * (len(names) - test - val)
+
+
+def test_dealt_groups_come_near():
+    assert deal_groups({1: 10}, 3) == {1: 3} and deal_groups({7: 1, 2: 1}, 6) == {7: 0, 2: 1} and deal_groups({}, 0) == {}
+    rng = random.Random(1)
+    for _ in range(200):
+        counts = {rng.randint(1, 30): rng.randint(1, 9) for _ in range(rng.randint(1, 8))}
+        wanted = rng.randint(0, sum(a * b for a, b in counts.items()))
+        got = deal_groups(counts, wanted)
+        missing = wanted - sum(a * b for a, b in got.items())
+        assert all(0 <= got[a] <= counts[a] for a in counts)
+        assert missing >= 0 and all(a > missing for a in counts if got[a] < counts[a])
+
+
+def test_group_split_without_groups(spark):
+    empty = spark.createDataFrame([], "g string, split string")
+    assert grouped_split(empty.drop("split"), "g").count() == 0
+    with pytest.raises(ValueError, match="group"):
+        grouped_split(spark.createDataFrame([("a",), (None,)], "g string"), "g")
+    assert [r["split"] for r in grouped_split(spark.createDataFrame([("a",)] * 3, "g string"), "g").collect()] == ["train"] * 3
 
 
 def test_overlap_counts_contents(spark):
