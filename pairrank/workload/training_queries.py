@@ -154,20 +154,31 @@ def _deal_sql(name: str, counts: str, wanted: str) -> str:
     {name} AS (SELECT s.size, s.n, s.taken + w.more AS taken FROM {name}_3 s JOIN {name}_4 w ON s.k = w.k)"""
 
 
-@query(
-    f"""
-    WITH RECURSIVE g AS (SELECT l_suppkey, COUNT(*) AS size FROM lineitem GROUP BY l_suppkey),
+def _grouped_sql(rows: str, keys: str) -> str:
+    """Rows with a group ``g`` to their keys and split; see :func:`pairrank.operators.split.grouped_split`."""
+    return f"""
+    WITH RECURSIVE x AS ({rows}), g AS (SELECT g, COUNT(*) AS size FROM x GROUP BY g),
     c AS (SELECT size, COUNT(*) AS n FROM g GROUP BY size),
-    w AS (SELECT COUNT(*) AS total, CEIL(0.15::DOUBLE * COUNT(*))::BIGINT AS test FROM lineitem),
+    w AS (SELECT COUNT(*) AS total, CEIL(0.15::DOUBLE * COUNT(*))::BIGINT AS test FROM x),
     {_deal_sql("t", "c", "(SELECT test FROM w)")},
     r AS (SELECT size, n - taken AS n FROM t),
     {_deal_sql("v", "r", "(SELECT CEIL(0.15::DOUBLE / (1 - 0.15::DOUBLE) * (total - test))::BIGINT FROM w)")},
-    o AS (SELECT l_suppkey, size, ROW_NUMBER() OVER (PARTITION BY size ORDER BY md5('42:' || l_suppkey)) AS place FROM g),
+    o AS (SELECT g, size, ROW_NUMBER() OVER (PARTITION BY size ORDER BY md5('42:' || g)) AS place FROM g),
     p AS (
-      SELECT l_suppkey, CASE WHEN place <= t.taken THEN 'test' WHEN place <= t.taken + v.taken THEN 'val' ELSE 'train' END AS split
+      SELECT g, CASE WHEN place <= t.taken THEN 'test' WHEN place <= t.taken + v.taken THEN 'val' ELSE 'train' END AS split
       FROM o JOIN t ON o.size = t.size JOIN v ON o.size = v.size)
-    SELECT l_orderkey, l_linenumber, l.l_suppkey, split FROM lineitem l JOIN p ON l.l_suppkey = p.l_suppkey
-    """,
+    SELECT {keys}, split FROM x JOIN p ON x.g = p.g"""
+
+
+@query(_grouped_sql("SELECT doc_id, md5(coalesce(text, '')) AS g FROM documents", "doc_id"))
+def split_without_copies(spark, sf_dir):
+    """Documents split so that copies of a text stay together; sizes of the splits are those wanted."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("content"))
+    return grouped_split(rows, "content").select("doc_id", "split")
+
+
+@query(
+    _grouped_sql("SELECT l_orderkey, l_linenumber, l_suppkey, l_suppkey AS g FROM lineitem", "l_orderkey, l_linenumber, l_suppkey"),
     name="grouped_split",
 )
 def grouped_split_query(spark, sf_dir):
