@@ -8,16 +8,21 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from pairrank.operators import aggregates, keyed, metrics
+from pairrank.operators.colocated import PairLayout, with_proteins
 from pairrank.operators.split import grouped_split, split_metadata, split_overlap, stratified_split
 from pairrank.operators.topk import Scorer, nearest
 from pairrank.plans.models import BoostedTrees
 from pairrank.session import cut_lineage, shared_dir, spread
+from pairrank.sources.feature_store import FeatureStore
 from pairrank.workload.feature_queries import bits_sql
 from pairrank.workload.registry import query
 from pairrank.workload.roles import (
     N_BITS, compound_features, interaction_parents, interactions, protein_features, scored_labels, table,
 )
 
+#: Buckets of the query that joins by bucket; a store of terabytes takes thousands.
+BUCKETS = 32
+
 SCORED = """
       SELECT l.doc_id AS key, l.quality AS label, (d.n_chars % 1000) / 1000.0::DOUBLE AS score
       FROM labels l JOIN documents d ON l.doc_id = d.doc_id"""
@@ -90,31 +95,55 @@ def interactions_resolved(spark, sf_dir):
     return keyed.interaction_keys(interactions(spark, sf_dir), *interaction_parents(spark, sf_dir))
 
 
-@query(
-    f"""
+FEATURE_MATRIX = f"""
     WITH c AS (SELECT p_partkey, p_brand, replace(p_name, ' ', '=') AS text FROM part),
     b AS ({bits_sql('c', 'p_partkey')}),
-    fp AS (SELECT p_partkey, string_agg(CAST(bit AS VARCHAR), ',' ORDER BY bit) AS bits FROM b GROUP BY p_partkey)
+    fp AS (SELECT p_partkey, string_agg(CAST(bit AS VARCHAR), ',' ORDER BY bit) AS bits FROM b GROUP BY p_partkey),
+    e AS (
+      SELECT vec_id, embedding,
+             array_to_string([CAST(floor(CAST(x AS DOUBLE) * 1000000 + 0.5::DOUBLE) AS BIGINT) FOR x IN embedding], ',') AS micro
+      FROM embeddings)
     SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS external_id,
            CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label,
            coalesce(fp.bits, '') AS on_bits, ROUND(CAST(e.embedding[1] AS DOUBLE), 6) + 0 AS emb_first,
-           ROUND(CAST(e.embedding[64] AS DOUBLE), 6) + 0 AS emb_last, {N_BITS + 64}::BIGINT AS feature_dim
+           ROUND(CAST(e.embedding[64] AS DOUBLE), 6) + 0 AS emb_last, e.micro AS emb_millionths, {N_BITS + 64}::BIGINT AS feature_dim
     FROM lineitem JOIN c ON l_partkey = c.p_partkey LEFT JOIN fp ON fp.p_partkey = c.p_partkey
-    JOIN supplier ON l_suppkey = s_suppkey JOIN embeddings e ON e.vec_id = s_suppkey
+    JOIN supplier ON l_suppkey = s_suppkey JOIN e ON e.vec_id = s_suppkey
     """
-)
-def feature_matrix(spark, sf_dir):
-    """Interactions with the compound's bits and the protein's vector, joined on both keys."""
-    keys = keyed.interaction_keys(interactions(spark, sf_dir), *interaction_parents(spark, sf_dir))
-    merged = keyed.merge_features(keys, compound_features(spark, sf_dir), protein_features(spark, sf_dir))
+
+
+def _matrix(merged):
     emb = F.col("emb").cast("array<double>")
+    millionths = F.transform(emb, lambda x: F.floor(x * 1000000 + 0.5).cast("bigint"))
     return merged.select(
         "external_id", "label", F.array_join("fp", ",").alias("on_bits"),
         F.round(emb[0], 6).alias("emb_first"), F.round(F.element_at(emb, -1), 6).alias("emb_last"),
+        F.array_join(millionths, ",").alias("emb_millionths"),
         (F.lit(N_BITS) + F.size("emb")).cast("bigint").alias("feature_dim"),
     )
 
 
+@query(FEATURE_MATRIX)
+def feature_matrix(spark, sf_dir):
+    """Interactions with the compound's bits and the protein's vector, joined on both keys."""
+    keys = keyed.interaction_keys(interactions(spark, sf_dir), *interaction_parents(spark, sf_dir))
+    return _matrix(keyed.merge_features(keys, compound_features(spark, sf_dir), protein_features(spark, sf_dir)))
+
+
+@query(FEATURE_MATRIX)
+def feature_matrix_bucketed(spark, sf_dir):
+    """The same matrix from a store in buckets: interactions are laid out once and joined where they lie."""
+    folder = f"{shared_dir(spark)}/matrix/{uuid.uuid4().hex}"
+    store = FeatureStore(spark, folder)
+    store.save("compound", "v1", compound_features(spark, sf_dir).withColumnRenamed("fp", "vector"), {"n_bits": N_BITS}, BUCKETS)
+    store.save("protein", "v1", protein_features(spark, sf_dir).withColumnRenamed("emb", "vector"), {"dim": 64})
+    keys = keyed.interaction_keys(interactions(spark, sf_dir), *interaction_parents(spark, sf_dir))
+    compound = store.load_bucketed("compound", "v1").withColumnRenamed("vector", "fp")
+    protein = store.load("protein", "v1").withColumnRenamed("vector", "emb")
+    paired = PairLayout.write(keys, f"{folder}/pairs", BUCKETS).with_compounds(compound, N_BITS)
+    return _matrix(with_proteins(paired, protein, store.load_manifest("protein", "v1")["row_count"], 64))
+
+
 @query(
     """
     SELECT COUNT(*)::BIGINT AS total, SUM(CASE WHEN vec_id IS NULL THEN 0 ELSE 1 END)::BIGINT AS matched,
