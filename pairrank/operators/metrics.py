@@ -1,14 +1,17 @@
 """Ranking and classification metrics over scored rows, per split.
 
 Rows are reduced to one per (split, score) first; everything threshold-free is computed
-from those groups, so ties count as ties. The global order the curves need comes from a
-distributed prefix sum: score ranges, totals per range, and a window inside each range
-only. No window ever sees a whole split.
+from those groups, so ties count as ties. The global order the curves need comes from one
+range partitioning: counts run on inside each range as it is written, and the totals of the
+ranges before are added when it is read. No window ever sees a whole split.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,9 +21,8 @@ from pairrank.session import cut_lineage
 # Class threshold and default k.
 THRESHOLD = 0.5
 K_VALUES = (10, 50, 100)
-# Balance of the prefix sum; the result does not depend on these.
-PER_RANGE = 25_000
-MAX_RANGES = 4096
+# Totals of ranges are broadcast up to this many rows: one for each range, and for each split that ends in one.
+BROADCAST_TOTALS = 100_000
 
 
 def threshold_class(probability, threshold: float = THRESHOLD) -> Column:
@@ -36,58 +38,65 @@ def score_groups(scored: DataFrame, split="split", score="score", label="label")
     )
 
 
-def held_groups(scored: DataFrame, **names: str) -> DataFrame:
-    """Score groups, computed once and kept: scoring is usually the costly part."""
-    return cut_lineage(score_groups(scored, **names))
-
-
-def _ranged(groups: DataFrame, per_range: int) -> DataFrame:
-    """Adds ``_range``: score ranges, in rising order, of about ``per_range`` groups each.
-
-    Bounds are quantiles of the distinct scores, so scores that cluster are cut as finely
-    as they lie. They only balance the work; any bounds give the same result.
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Appends run_pos and run_neg: counts of the split so far in this partition, in its order."""
+    last, carried = None, np.zeros(2, np.int64)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        split = batch.column("split").dictionary_encode()
+        code = split.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.diff(code, prepend=code[0] - 1))
+        counts = np.stack([batch.column(c).to_numpy() for c in ("pos", "neg")])
+        run = np.cumsum(counts, axis=1)
+        before = run[:, starts] - counts[:, starts]
+        first = split[0].as_py()
+        if last is not None and last[0] == first:
+            before[:, 0] -= carried
+        run -= np.repeat(before, np.diff(starts, append=len(code)), axis=1)
+        last, carried = (split[len(code) - 1].as_py(),), run[:, -1].copy()
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(run[0]), pa.array(run[1])], names=[*batch.schema.names, "run_pos", "run_neg"])
+
+
+def held_groups(scored: DataFrame, ranges: int | None = None, **names: str) -> DataFrame:
+    """Score groups in the order of the curves, computed once and kept: scoring is usually the costly part.
+
+    Adds ``range``, the range partition of a group (by split, then falling score), and
+    run_pos, run_neg, the counts of its split inside that range up to it. ``ranges`` is the
+    number of partitions, by default the session's; the metrics do not depend on it.
     """
-    ranges = min(MAX_RANGES, -(-groups.count() // per_range))
-    if ranges < 2:
-        return groups.withColumn("_range", F.lit(0.0))
-    wanted = [i / ranges for i in range(1, ranges)]
-    bounds = sorted(set(groups.approxQuantile("score", wanted, 1 / (4 * ranges))))
-    infinity = float("inf")
-    cutter = Bucketizer(splits=[-infinity, *bounds, infinity], inputCol="score", outputCol="_range")
-    return cutter.transform(groups)
+    groups = score_groups(scored, **names)
+    order = [F.col("split"), F.col("score").desc()]
+    placed = groups.repartitionByRange(ranges, *order) if ranges else groups.repartitionByRange(*order)
+    marked = placed.withColumn("range", F.spark_partition_id()).sortWithinPartitions(*order)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in marked.schema)
+    return cut_lineage(marked.mapInArrow(_running, f"{schema}, run_pos bigint, run_neg bigint"))
 
 
-def running_counts(groups: DataFrame, per_range: int = PER_RANGE) -> DataFrame:
-    """Adds cum_pos, cum_neg (this score and above) and the split's totals.
+def running_counts(groups: DataFrame) -> DataFrame:
+    """Adds cum_pos, cum_neg (this score and above) and the split's totals to :func:`held_groups`.
 
-    ``groups`` is read several times: pass it held (:func:`held_groups`).
+    Only the totals of the ranges are put in order; the groups stay where they are.
     """
-    ranged = _ranged(groups, per_range)
-    by_range = Window.partitionBy("_split").orderBy(F.col("_r").desc())
-    above = by_range.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("_split")
-    totals = (
-        ranged.groupBy(F.col("split").alias("_split"), F.col("_range").alias("_r"))
-        .agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-        .select(
-            "_split",
-            "_r",
-            F.coalesce(F.sum("p").over(above), F.lit(0)).alias("_pos_above"),
-            F.coalesce(F.sum("n").over(above), F.lit(0)).alias("_neg_above"),
-            F.sum("p").over(whole).alias("total_pos"),
-            F.sum("n").over(whole).alias("total_neg"),
-        )
+    above = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    per_range = groups.groupBy(F.col("split").alias("_split"), F.col("range").alias("_range")).agg(
+        F.max("run_pos").alias("p"), F.max("run_neg").alias("n")
     )
-    inside = (
-        Window.partitionBy("split", "_range")
-        .orderBy(F.col("score").desc())
-        .rowsBetween(Window.unboundedPreceding, 0)
+    totals = per_range.select(
+        "_split", "_range",
+        F.coalesce(F.sum("p").over(above), F.lit(0)).alias("_pos_above"),
+        F.coalesce(F.sum("n").over(above), F.lit(0)).alias("_neg_above"),
+        F.sum("p").over(whole).alias("total_pos"),
+        F.sum("n").over(whole).alias("total_neg"),
     )
-    same = F.col("split").eqNullSafe(F.col("_split")) & (F.col("_range") == F.col("_r"))
-    return ranged.join(totals, same).select(
+    if per_range.count() <= BROADCAST_TOTALS:
+        totals = F.broadcast(totals)
+    same = F.col("split").eqNullSafe(F.col("_split")) & (F.col("range") == F.col("_range"))
+    return groups.join(totals, same).select(
         "split", "score", "pos", "neg", "total_pos", "total_neg",
-        (F.col("_pos_above") + F.sum("pos").over(inside)).alias("cum_pos"),
-        (F.col("_neg_above") + F.sum("neg").over(inside)).alias("cum_neg"),
+        (F.col("_pos_above") + F.col("run_pos")).alias("cum_pos"),
+        (F.col("_neg_above") + F.col("run_neg")).alias("cum_neg"),
     )
 
 
@@ -117,15 +126,12 @@ def classification(groups: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     )
 
 
-def curves(groups: DataFrame, per_range: int = PER_RANGE) -> DataFrame:
-    """AUROC (ties count half) and average precision (step sum); null with one class.
-
-    ``groups`` is read several times: pass it held (:func:`held_groups`).
-    """
+def curves(groups: DataFrame) -> DataFrame:
+    """AUROC (ties count half) and average precision (step sum) of :func:`held_groups`; null with one class."""
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     total_pos, total_neg = F.col("total_pos"), F.col("total_neg")
     below = total_neg - F.col("cum_neg")
-    sums = running_counts(groups, per_range).groupBy("split").agg(
+    sums = running_counts(groups).groupBy("split").agg(
         F.max("total_pos").alias("total_pos"),
         F.max("total_neg").alias("total_neg"),
         F.sum(pos * (below + neg / 2)).alias("won"),

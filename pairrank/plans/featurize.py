@@ -137,18 +137,21 @@ class Featurization:
     """Featurises both entity tables into the store.
 
     ``compounds`` needs external_id, source, smiles and ``proteins`` external_id, source,
-    sequence; the scan reads those columns only.
+    sequence; the scan reads those columns only. With ``compound_buckets`` the compounds'
+    vectors are stored in buckets, for training data without a shuffle of the interactions.
     """
 
     def __init__(
         self, store: FeatureStore, compounds: DataFrame, proteins: DataFrame,
         compound_featurizer: Featurizer | None = None, protein_featurizer: Featurizer | None = None,
+        compound_buckets: int | None = None,
     ) -> None:
         self.store = store
         self.compounds = compounds
         self.proteins = proteins
         self.compound_featurizer = compound_featurizer or QGramFingerprint()
         self.protein_featurizer = protein_featurizer or KmerEmbedding()
+        self.buckets = {"compound": compound_buckets}
 
     def run(self, version: str = "v1") -> dict:
         start = time.monotonic()
@@ -174,6 +177,6 @@ class Featurization:
         features = featurizer.transform(rows.observe(seen, F.count(F.lit(1)).alias("total")))
         manifest = featurizer.feature_manifest()
         kind = manifest["type"]
-        uri = self.store.save(entity_type, f"{kind}_{version}", features, manifest)
+        uri = self.store.save(entity_type, f"{kind}_{version}", features, manifest, self.buckets.get(entity_type))
         saved = self.store.load_manifest(entity_type, f"{kind}_{version}")
         return {"count": saved["row_count"], "total": seen.get["total"], "uri": uri}
