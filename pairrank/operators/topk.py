@@ -1,9 +1,14 @@
 """Exact top-k: per group over rows, and per query over candidate vectors.
 
 Ranking asks for the best of all candidates of every query, but no pair ever becomes a row
-and candidates are never shuffled: queries are broadcast, in blocks of a checked size, to
-the tasks that scan the candidates, one block after the other. A task multiplies blocks of
-candidates with the query matrix and keeps k results per query; only those are shuffled.
+and no plan sorts or groups candidates: queries are broadcast, as many as a checked size
+holds, to the tasks that scan the candidates. A task multiplies blocks of candidates with
+blocks of queries and keeps k results per query; only those are shuffled. A scan thus serves
+many blocks of queries, and candidates in few files are dealt to all cores once.
+
+A block is multiplied in single precision first. Only pairs that may reach their query's
+k-th score so far, rounding errors included, are scored in double, so work besides the
+product is for few pairs.
 
 Blocks of candidates need not be scored where they cannot matter. A task gathers like
 candidates (by their nearest of a few pivots, then by their angle to it) and bounds a
@@ -29,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from pairrank.operators.postings import QueryIndex, bit_matrix, bit_order, pack
-from pairrank.session import cut_lineage
+from pairrank.session import cut_lineage, spread
 
 # Fixed value: largest top_k of a query.
 MAX_K = 500
@@ -40,6 +45,12 @@ QUERY_BLOCK = 8192
 #: Candidates that share a bound, pivots of a batch, and queries below which bounds cost more than they save.
 CANDIDATE_BLOCK, PIVOTS, BOUNDED_QUERIES = 512, 16, 200
 PIECE_CELLS = 4_000_000
+#: Pairs below which blocks of candidates that no bound rules out are multiplied together.
+FUSED_CELLS = 1 << 19
+#: Results that a task holds for the queries of one scan, if a block of queries needs no more.
+RESULT_ROWS = 1 << 20
+#: Queries above which candidates are spread over the cores, and rows of a query that one task may rank.
+SPREAD_QUERIES, RANKED_ROWS = 1000, 100_000
 #: Candidates indexed together, and found rows that wait for a merge, at least.
 PACKED_ROWS, WAITING_ROWS = 2048, 4096
 #: Input splits that one task may scan.
@@ -146,18 +157,24 @@ class Scorer:
         product /= norms[:, None] * _norms(candidates)[None, :]
         return product
 
-    def best_possible(self, toward: np.ndarray, norms: np.ndarray, group: _Group) -> np.ndarray:
-        """An upper bound of each query's scores in a block of candidates, rounding included.
+    def few(self, queries: np.ndarray, norms: np.ndarray, candidates: np.ndarray) -> np.ndarray:
+        """Scores of single pairs, a query and a candidate in each row; ``norms`` are the queries' own."""
+        product = np.einsum("ij,ij->i", queries, candidates, dtype=np.float64)
+        return product if self.metric == "dot" else product / (norms * _norms(candidates))
+
+    def best_possible(self, toward: np.ndarray, norms: np.ndarray, groups: list[_Group]) -> np.ndarray:
+        """Upper bounds of each query's scores in blocks of candidates, rounding included.
 
-        ``toward`` holds the queries' angles to the block's pivot.
+        ``toward`` holds the queries' angles to the blocks' pivots, a column for each block.
         """
-        apart = np.maximum(0.0, np.maximum(group.near - toward, toward - group.far))
+        near, far, shortest, longest = (np.array([getattr(g, name) for g in groups]) for name in ("near", "far", "shortest", "longest"))
+        apart = np.maximum(0.0, np.maximum(near - toward, toward - far))
         bound = np.cos(np.minimum(apart, np.pi))
+        norms = norms[:, None]
         if self.metric == "dot":
-            bound = bound * norms * np.where(bound > 0, group.longest, group.shortest)
-        if group.zero:
-            bound = np.maximum(bound, 0.0)
-        reach = norms * group.longest if self.metric == "dot" else 1.0
+            bound = bound * norms * np.where(bound > 0, longest, shortest)
+        bound = np.where(np.array([g.zero for g in groups]), np.maximum(bound, 0.0), bound)
+        reach = norms * longest if self.metric == "dot" else 1.0
         return bound + 1e-6 + 1e-7 * reach
 
 
@@ -259,14 +276,62 @@ def _thresholds(best: pa.Table, ks: np.ndarray) -> np.ndarray:
     return np.where(full, scores[np.maximum(ends - 1, 0)], -np.inf) if len(scores) else np.full(len(ks), -np.inf)
 
 
-def _rank_batches(batches: Iterator[pa.RecordBatch], block: _Block, scorer: Scorer, size: int) -> tuple[pa.Table | None, int, int]:
-    """Running top-k of a stream of candidate batches, the pairs met and the pairs scored."""
-    best, every, met, done = None, np.arange(len(block.ids)), 0, 0
+class _Running:
+    """The k best of a block of queries so far.
+
+    Finds of a slab are gathered until they are worth new thresholds, and rows until they are worth a merge.
+    """
+
+    def __init__(self, ks: np.ndarray) -> None:
+        self.ks, self.best, self.waiting, self.n_waiting = ks, None, [], 0
+        self.reached = np.full(len(ks), -np.inf)
+        self._top = np.full((len(ks), int(ks.max(initial=1))), -np.inf)
+        self._gathered, self._n_gathered, self._short = [], 0, True
+
+    def gather(self, slab: pa.Table, rows: np.ndarray, asked: np.ndarray, scores: np.ndarray) -> None:
+        self._gathered.append((rows, asked, scores))
+        self._n_gathered += len(rows)
+        if self._short or self._n_gathered >= 2 * len(self.ks):
+            self.flush(slab)
+
+    def flush(self, slab: pa.Table) -> None:
+        """Counts what was gathered; to be called before the next slab."""
+        if self._gathered:
+            self.add(slab, *map(np.concatenate, zip(*self._gathered)))
+            self._gathered, self._n_gathered, self._short = [], 0, bool((self.reached == -np.inf).any())
+
+    def add(self, slab: pa.Table, rows: np.ndarray, asked: np.ndarray, scores: np.ndarray) -> None:
+        kept = _first(asked, scores, rows, self.ks)
+        rows, asked, scores = rows[kept], asked[kept], scores[kept]
+        touched, first, which = np.unique(asked, return_index=True, return_inverse=True)
+        new = np.full((len(touched), self._top.shape[1]), -np.inf)
+        new[which, np.arange(len(asked)) - first[which]] = scores
+        both = np.concatenate([self._top[touched], new], axis=1)
+        self._top[touched] = -np.sort(-both, axis=1)[:, :new.shape[1]]
+        self.reached[touched] = self._top[touched, self.ks[touched] - 1]
+        found = slab.select(["source", "external_id"]).take(pa.array(rows))
+        found = found.append_column("_q", pa.array(asked, pa.int64())).append_column("score", pa.array(scores))
+        self.waiting.append(found)
+        self.n_waiting += len(found)
+        if self.n_waiting >= max(WAITING_ROWS, 0 if self.best is None else len(self.best) // 2):
+            self.merged()
+
+    def merged(self) -> pa.Table | None:
+        if self.waiting:
+            self.best = _best([*self.waiting, self.best] if self.best is not None else self.waiting, self.ks)
+            self.waiting, self.n_waiting = [], 0
+        return self.best
+
+
+def _rank_batches(
+    batches: Iterator[pa.RecordBatch], block: _Block, scorer: Scorer, size: int, together: int
+) -> tuple[list[tuple[int, pa.Table]], int, int]:
+    """Running top-k of a stream of candidate batches, the pairs met and the pairs scored.
+
+    Queries meet a slab of candidates in blocks of ``together``; the results are those of each block, behind its first query.
+    """
     step = max(256, PIECE_CELLS // max(block.matrix.shape[1], 1))
-    piece = max(256, PIECE_CELLS // max(len(block.ids), 1))
-    norms, reached = _norms(block.matrix), np.full(len(block.ids), -np.inf)
-    bounded = scorer.pair_model is None and len(every) >= BOUNDED_QUERIES
-    units, lengths = _units(block.matrix) if bounded else (None, None)
+    parts = [_Part(block, slice(k, k + together), scorer) for k in range(0, len(block.ids), together)]
     for batch in batches:
         ordered = pa.Table.from_batches([batch]).sort_by(
             [("source", "ascending"), ("external_id", "ascending")]
@@ -274,28 +339,91 @@ def _rank_batches(batches: Iterator[pa.RecordBatch], block: _Block, scorer: Scor
         for start in range(0, len(ordered), step):
             slab = ordered.slice(start, step).combine_chunks()
             candidates = scorer.candidates(_array(slab["vector"]), block.matrix)
-            if bounded and len(slab) > size:
-                pivots, groups = _groups(candidates, min(size, piece))
-                toward = _angles(units, pivots)
-            else:
-                groups = [_Group(np.arange(k, min(k + piece, len(slab))), 0, 0, 0, 0, 0, True) for k in range(0, len(slab), piece)]
-                toward = None
-            for group in groups:
-                active = every
-                if toward is not None:
-                    bound = scorer.best_possible(toward[:, group.pivot], lengths, group)
-                    active = np.flatnonzero((bound >= reached) | (lengths == 0))
-                met, done = met + len(every) * len(group.rows), done + len(active) * len(group.rows)
-                if not len(active):
+            side, grouped = _Side(candidates, scorer), {}
+            for part in parts:
+                piece = max(256, PIECE_CELLS // max(len(part.ks), 1))
+                if part.bounded and len(slab) > size:
+                    key = min(size, piece)
+                    pivots, groups = grouped[key] = grouped.get(key) or _groups(candidates, key)
+                    toward = _angles(part.units, pivots)[:, [g.pivot for g in groups]]
+                    bounds = scorer.best_possible(toward, part.lengths, groups)
+                    bounds[part.lengths == 0] = np.inf
+                    part.rank(slab, side, [g.rows for g in groups], bounds)
+                else:
+                    part.rank(slab, side, [np.arange(k, min(k + piece, len(slab))) for k in range(0, len(slab), piece)], None)
+    found = [(part.start, best) for part in parts if (best := part.running.merged()) is not None]
+    return found, sum(part.met for part in parts), sum(part.done for part in parts)
+
+
+class _Side:
+    """Candidates as they are and, for a metric, in single precision: unit vectors for a cosine."""
+
+    def __init__(self, candidates: np.ndarray, scorer: Scorer) -> None:
+        self.exact, self.coarse, self.longest = candidates, None, 1.0
+        if scorer.pair_model is None:
+            self.coarse = (candidates if scorer.metric == "dot" else candidates / _norms(candidates)[:, None]).astype(np.float32)
+            if scorer.metric == "dot":
+                self.longest = float(_norms(candidates).max(initial=0))
+
+
+class _Part:
+    """A block of a scan's queries, and what it has found."""
+
+    def __init__(self, block: _Block, rows: slice, scorer: Scorer) -> None:
+        self.start, self.ks, self.matrix, self.scorer = rows.start, block.ks[rows], block.matrix[rows], scorer
+        self.norms, self.running = _norms(self.matrix), _Running(self.ks)
+        self.bounded = scorer.pair_model is None and len(self.ks) >= BOUNDED_QUERIES
+        self.units, self.lengths = _units(self.matrix) if self.bounded else (None, None)
+        self.side, self.met, self.done = _Side(self.matrix, scorer), 0, 0
+
+    def rank(self, slab: pa.Table, side: _Side, pieces: list[np.ndarray], bounds: np.ndarray | None) -> None:
+        running, every = self.running, np.arange(len(self.ks))
+        # What single precision and the rounding of scores may take, for products of these norms.
+        width = self.matrix.shape[1]
+        slack = 1e-6 + (width + 8) * 2.0**-23 * (self.norms * side.longest if self.scorer.metric == "dot" else np.ones(len(every)))
+        for k, rows in self._fused(pieces, bounds):
+            active = every if bounds is None or k is None else np.flatnonzero(bounds[:, k] >= running.reached)
+            self.met, self.done = self.met + len(every) * len(rows), self.done + len(active) * len(rows)
+            if not len(active):
+                continue
+            whole = len(active) == len(every)
+            if side.coarse is not None and (running.reached[active] > -np.inf).all():
+                least = (running.reached - slack).astype(np.float32)
+                near = (self.side.coarse if whole else self.side.coarse[active]) @ side.coarse[rows].T
+                # Products past single precision are no reason to drop a pair.
+                hit = np.flatnonzero(~(near < (least if whole else least[active])[:, None]))
+                if not len(hit):
+                    continue
+                if 8 * len(hit) < near.size:
+                    asked, places = active[hit // len(rows)], rows[hit % len(rows)]
+                    scores = _round(self.scorer.few(self.matrix[asked], self.norms[asked], side.exact[places]))
+                    self.kept(slab, places, asked, scores)
+                    continue
+            mine = (self.matrix, self.norms, self.ks) if whole else (self.matrix[active], self.norms[active], self.ks[active])
+            scores = _round(self.scorer.score(mine[0], mine[1], side.exact[rows]))
+            asked, places = _pick(scores, mine[2])
+            self.kept(slab, rows[places], active[asked], scores[asked, places])
+        running.flush(slab)
+
+    def _fused(self, pieces: list[np.ndarray], bounds: np.ndarray | None) -> Iterator[tuple[int | None, np.ndarray]]:
+        """The pieces with their numbers; small ones that every query has to meet come together, without a number."""
+        at = 0
+        while at < len(pieces):
+            most = max(1, FUSED_CELLS // max(1, len(self.ks) * len(pieces[at])))
+            if bounds is not None and most > 1 and (self.running.reached > -np.inf).all():
+                every = (bounds[:, at:at + most] >= self.running.reached[:, None]).all(axis=0)
+                n = len(every) if every.all() else int(every.argmin())
+                if n > 1:
+                    yield None, np.concatenate(pieces[at:at + n])
+                    at += n
                     continue
-                scores = _round(scorer.score(block.matrix[active], norms[active], candidates[group.rows]))
-                asked, places = _pick(scores, block.ks[active])
-                found = slab.select(["source", "external_id"]).take(pa.array(group.rows[places]))
-                found = found.append_column("_q", pa.array(active[asked], pa.int64()))
-                found = found.append_column("score", pa.array(scores[asked, places]))
-                best = _best([found] if best is None else [best, found], block.ks)
-                reached = _thresholds(best, block.ks)
-    return best, met, done
+            yield at, pieces[at]
+            at += 1
+
+    def kept(self, slab: pa.Table, rows: np.ndarray, asked: np.ndarray, scores: np.ndarray) -> None:
+        good = np.flatnonzero(scores >= self.running.reached[asked])
+        if len(good):
+            self.running.gather(slab, rows[good], asked[good], scores[good])
 
 
 def _first(queries: np.ndarray, scores: np.ndarray, rows: np.ndarray, ks: np.ndarray) -> np.ndarray:
@@ -357,8 +485,9 @@ def _rank_sets(
     return _best([best, rest], ks), met, done
 
 
-def _emit(best: pa.Table, block: _Block) -> pa.Table:
-    q = best["_q"]
+def _emit(best: pa.Table, block: _Block, start: int = 0) -> pa.Table:
+    """Result rows of the queries from ``start`` on."""
+    q = pc.add(best["_q"], start)
     return pa.table(
         {
             "query_id": block.ids.take(q.combine_chunks()),
@@ -408,25 +537,36 @@ def nearest(
 
     width = scorer.n_bits or queries.agg(F.max(F.size("vector"))).first()[0] or 1
     block = max(1, min(query_block, max_broadcast_bytes // (8 * width)))
-    few = queries.limit(block + 1).toArrow()
-    fewer = len(few) <= block
+    # A block of bit sets is an index of its own; other blocks share a scan.
+    scan = block if scorer.by_postings else max(1, min(max_broadcast_bytes // (8 * width), max(block, RESULT_ROWS // limit)))
+    few = queries.limit(scan + 1).toArrow()
+    fewer = len(few) <= scan
     if fewer:
         unclear = few["query_id"].null_count or pc.count_distinct(few["query_id"]).as_py() < len(few)
     else:
         unclear = not queries.groupBy("query_id").count().where("query_id is null or count > 1").isEmpty()
     if unclear:
         raise ValueError("query_id must be set and unique")
+    if len(few) > SPREAD_QUERIES:
+        candidates = spread(candidates)
+    how = {"schema": schema, "size": candidate_block, "together": block, "report": report}
     if fewer:
-        scored = _against_broadcast(few, candidates, scorer, schema, candidate_block, report)[0]
+        scored, tasks, _ = _against_broadcast(few, candidates, scorer, **how)
+        ranked = _ranked(scored, limit, tasks)
     else:
-        scored = _block_by_block(queries, candidates, scorer, schema, block, limit, candidate_block, report)
-    return _ranked(scored, limit).filter(F.col("rank") <= F.col("top_k")).select(
+        del few
+        ranked = _scan_by_scan(queries, candidates, scorer, scan, limit, how)
+    return ranked.filter(F.col("rank") <= F.col("top_k")).select(
         "query_id", "top_k", "rank", "source", "external_id", "score"
     )
 
 
-def _ranked(scored: DataFrame, limit: int) -> DataFrame:
+def _ranked(scored: DataFrame, limit: int, tasks: int) -> DataFrame:
+    """``scored`` with the rank; a query's rows are ``limit`` from each task at most, and ranked in parts where these are many."""
     order = [F.col("score").desc(), F.col("source"), F.col("external_id")]
+    if tasks * limit <= RANKED_ROWS:
+        ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+        return ranked.filter(F.col("rank") <= limit)
     return top_k_rows(scored, ["query_id"], order, limit, F.concat_ws(":", "source", "external_id"))
 
 
@@ -447,12 +587,12 @@ class SearchReport:
 
 
 def _against_broadcast(
-    few: pa.Table, candidates: DataFrame, scorer: Scorer, schema: str, size: int, report: SearchReport | None,
-) -> tuple[DataFrame, Broadcast | None]:
-    """k results of each task for each query of a block, and the broadcast block they come from."""
+    few: pa.Table, candidates: DataFrame, scorer: Scorer, schema: str, size: int, together: int, report: SearchReport | None,
+) -> tuple[DataFrame, int, Broadcast | None]:
+    """k results of each task for each query of a scan, the number of tasks, and the broadcast queries."""
     spark = candidates.sparkSession
     if len(few) == 0:
-        return spark.createDataFrame([], schema), None
+        return spark.createDataFrame([], schema), 1, None
     place = None
     if scorer.by_postings:
         few = few.combine_chunks()
@@ -468,13 +608,14 @@ def _against_broadcast(
         *sides, place = shared.value
         asked = _Block(*sides)
         if place is None:
-            best, met, done = _rank_batches(batches, asked, scorer, size)
+            found, met, done = _rank_batches(batches, asked, scorer, size, together)
         else:
             best, met, done = _rank_sets(batches, asked.ks, asked.matrix, place)
-        if best is not None:
+            found = [(0, best)] if best is not None else []
+        for n, (start, best) in enumerate(found):
             # The task's pairs are counted on its first row.
-            first = np.arange(len(best)) == 0
-            rows = _emit(best, asked).append_column("met", pa.array(first * met, pa.int64()))
+            first = (np.arange(len(best)) == 0) & (n == 0)
+            rows = _emit(best, asked, start).append_column("met", pa.array(first * met, pa.int64()))
             yield from rows.append_column("done", pa.array(first * done, pa.int64())).to_batches()
 
     # Every task sends k rows per query, so fewer, longer tasks shuffle less; each still
@@ -482,23 +623,21 @@ def _against_broadcast(
     splits = candidates.rdd.getNumPartitions()
     tasks = max(4 * spark.sparkContext.defaultParallelism, -(-splits // SPLITS))
     rows = (candidates.coalesce(tasks) if splits > tasks else candidates).mapInArrow(rank, f"{schema}, met long, done long")
-    return (report.watch(rows) if report else rows).drop("met", "done"), shared
+    return (report.watch(rows) if report else rows).drop("met", "done"), min(splits, tasks), shared
 
 
-def _block_by_block(
-    queries: DataFrame, candidates: DataFrame, scorer: Scorer, schema: str, size: int, limit: int,
-    candidate_block: int, report: SearchReport | None,
-) -> DataFrame:
-    """One scan of the candidates for each block of queries; its results are written before the next begins."""
+def _scan_by_scan(queries: DataFrame, candidates: DataFrame, scorer: Scorer, size: int, limit: int, how: dict) -> DataFrame:
+    """One scan of the candidates for each ``size`` queries; its results are written before the next begins."""
     # Ids are unique, so hash blocks come out even; a quarter more leaves room for chance.
     n = -(-queries.count() * 5 // (4 * size))
     placed = cut_lineage(queries.withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int")).repartitionByRange("_qb"))
+    candidates = cut_lineage(candidates)
     found = []
     for k in range(n):
         few = placed.where(F.col("_qb") == k).drop("_qb").toArrow()
-        scored, shared = _against_broadcast(few, candidates, scorer, schema, candidate_block, report)
+        scored, tasks, shared = _against_broadcast(few, candidates, scorer, **how)
         if shared is not None:
-            found.append(cut_lineage(_ranked(scored, limit).drop("rank")))
+            found.append(cut_lineage(_ranked(scored, limit, tasks)))
             shared.destroy()
     return reduce(DataFrame.unionByName, found)
 

@@ -277,3 +277,23 @@ def test_queries_must_be_made_as_the_stored_vectors(spark, store):
     ):
         with pytest.raises(ValueError, match=told):
             getattr(search, call)("MKWV" if "protein" in call else "CCO")
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot"])
+def test_blocks_of_queries_share_a_scan(spark, metric):
+    """Candidates are read once for all blocks of queries, and results are those of a single block."""
+    rng = np.random.default_rng(4)
+    made = [[float(x) for x in v] for v in rng.normal(size=(900, 8)).astype(np.float32)]
+    queries = spark.createDataFrame(list(enumerate(made)), "query_id int, vector array<double>")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    stored = spark.createDataFrame([("s", str(k), v) for k, v in enumerate(made)], VECTORS).repartition(4)
+    whole = nearest(queries, stored, Scorer(metric), top_k=5)
+    some = nearest(queries, stored.mapInArrow(counted, stored.schema), Scorer(metric), top_k=5, query_block=210, candidate_block=16)
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, whole.collect()))
+    assert read.value == 900
