@@ -267,6 +267,37 @@ def test_network_adds_keys_without_keyword(spark, docs):
         assert said == ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
 
+def test_network_trains_on_every_window(spark, monkeypatch):
+    """More findings than any sample held, in many parts: each distinct window is trained on or held out, once."""
+    rng = random.Random(6)
+    draw = lambda letters, n: "".join(rng.choices(letters, k=n))
+    texts = [f"api_key = {draw('abcdefABCDEF0123456789', 20)} and {draw('aeiou', 8)}-{draw('aeiou', 6)}1 then" for _ in range(2600)]
+    texts += texts[:300]
+    marks = {w for t in texts for w in secret_scan._of_text(t)}
+    whole, seen = secret_scan._trained, []
+
+    def trained(rows, n_good, n_bad):
+        seen.append((n_good, n_bad, rows.count()))
+        return whole(rows, n_good, n_bad)
+
+    monkeypatch.setattr(secret_scan, "_trained", trained)
+    monkeypatch.setattr(secret_scan, "PART_ROWS", 2000)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(5)
+    model = secret_scan.fit(docs)
+    good, bad = (sum(m.startswith(start) for m in marks) for start in ("02", "00"))
+    assert seen == [(good, bad, good + bad)] and good > 2600
+    assert model.recall >= secret_scan.RECALL and model.precision > 0.9 and 0 < model.threshold <= 1
+    again = secret_scan.fit(docs.repartition(2))
+    assert (again.threshold, again.slope, again.recall) == pytest.approx((model.threshold, model.slope, model.recall))
+
+
+def test_value_at_a_place(spark):
+    rng = np.random.default_rng(2)
+    values = np.concatenate([rng.normal(size=3000), np.repeat(1e-9, 50), [1e6, -1e6]])
+    frame = spark.createDataFrame([(float(v),) for v in values], "x double")
+    assert [secret_scan._at_place(frame, k) for k in (0, 150, 1500, 3051)] == [float(np.sort(values)[k]) for k in (0, 150, 1500, 3051)]
+
+
 def test_windows_cover_a_long_candidate():
     body = "".join(chr(97 + k % 23) + str(k % 10) for k in range(100))
     text = f"see {body} there"
