@@ -419,13 +419,17 @@ def interaction_ingest(spark, sf_dir):
     """Last row per key, parents looked up by (external_id, source), the lost ones marked."""
     items = table(spark, sf_dir, "lineitem").select(
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("external_id"),
-        F.col("l_partkey").cast("string").alias("compound_external_id"), F.lit("vectors").alias("compound_source"),
-        F.col("l_suppkey").cast("string").alias("protein_external_id"), F.lit("suppliers").alias("protein_source"),
         (F.col("l_returnflag") == "R").cast("int").alias("label"),
         "l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
     )
     order = ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
-    latest = records.to_rows(keyed.last_wins(items, order, ["external_id"]), "shop", "interaction")
+    # What follows from other columns is added to the rows that win, so that it is not shuffled.
+    last = keyed.last_wins(items, order, ["external_id"]).select(
+        "*",
+        F.col("l_partkey").cast("string").alias("compound_external_id"), F.lit("vectors").alias("compound_source"),
+        F.col("l_suppkey").cast("string").alias("protein_external_id"), F.lit("suppliers").alias("protein_source"),
+    )
+    latest = records.to_rows(last, "shop", "interaction")
 
     def parents(name, key, source):
         return table(spark, sf_dir, name).select(

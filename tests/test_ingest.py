@@ -546,3 +546,24 @@ def test_stream_of_records(spark, tmp_path):
     run()
     run()
     assert taken == [">P1", ">P2", ">P3"]
+
+
+def test_interactions_stay_where_they_are_for_counted_parents(spark):
+    """Parents that fit are broadcast past Spark's own estimate; where broadcasts are forbidden they are not."""
+    from pairrank.operators import keyed
+
+    parents = spark.createDataFrame([(f"id{k}", str(k), "s") for k in range(50)], "id string, external_id string, source string")
+    rows = spark.range(400).selectExpr(
+        "CAST(id % 60 AS string) AS compound_external_id", "'s' AS compound_source", "CAST(id % 50 AS string) AS protein_external_id", "'s' AS protein_source",
+    )
+    results = []
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for threshold, name in (("1", "BroadcastHashJoin"), ("-1", "SortMergeJoin")):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            found = keyed.resolve_interactions(rows, parents, parents)
+            assert found._jdf.queryExecution().sparkPlan().toString().count(name) == 2
+            results.append(sorted(map(str, found.collect())))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert results[0] == results[1] and len(results[0]) == 400
