@@ -49,7 +49,7 @@ PIECE_CELLS = 4_000_000
 FUSED_CELLS = 1 << 19
 #: Results that a task holds for the queries of one scan, if a block of queries needs no more.
 RESULT_ROWS = 1 << 20
-#: Queries above which candidates are spread over the cores, and rows of a query that one task may rank.
+#: Queries above which candidates are spread over the cores, and rows of a query that are then ranked by one task.
 SPREAD_QUERIES, RANKED_ROWS = 1000, 100_000
 #: Candidates indexed together, and found rows that wait for a merge, at least.
 PACKED_ROWS, WAITING_ROWS = 2048, 4096
@@ -552,7 +552,7 @@ def nearest(
     how = {"schema": schema, "size": candidate_block, "together": block, "report": report}
     if fewer:
         scored, tasks, _ = _against_broadcast(few, candidates, scorer, **how)
-        ranked = _ranked(scored, limit, tasks)
+        ranked = _ranked(scored, limit, len(few) > SPREAD_QUERIES and tasks * limit <= RANKED_ROWS)
     else:
         del few
         ranked = _scan_by_scan(queries, candidates, scorer, scan, limit, how)
@@ -561,10 +561,10 @@ def nearest(
     )
 
 
-def _ranked(scored: DataFrame, limit: int, tasks: int) -> DataFrame:
-    """``scored`` with the rank; a query's rows are ``limit`` from each task at most, and ranked in parts where these are many."""
+def _ranked(scored: DataFrame, limit: int, whole: bool) -> DataFrame:
+    """``scored`` with the rank, in parts or, if ``whole``, at once: a query's rows are ``limit`` from each task at most."""
     order = [F.col("score").desc(), F.col("source"), F.col("external_id")]
-    if tasks * limit <= RANKED_ROWS:
+    if whole:
         ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
         return ranked.filter(F.col("rank") <= limit)
     return top_k_rows(scored, ["query_id"], order, limit, F.concat_ws(":", "source", "external_id"))
@@ -637,7 +637,7 @@ def _scan_by_scan(queries: DataFrame, candidates: DataFrame, scorer: Scorer, siz
         few = placed.where(F.col("_qb") == k).drop("_qb").toArrow()
         scored, tasks, shared = _against_broadcast(few, candidates, scorer, **how)
         if shared is not None:
-            found.append(cut_lineage(_ranked(scored, limit, tasks)))
+            found.append(cut_lineage(_ranked(scored, limit, tasks * limit <= RANKED_ROWS)))
             shared.destroy()
     return reduce(DataFrame.unionByName, found)
 
