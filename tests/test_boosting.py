@@ -33,6 +33,14 @@ def pairs():
     return rows
 
 
+@pytest.fixture(autouse=True)
+def nothing_held(spark):
+    """MLlib's trees, trained here to compare, leave RDDs in memory until they are collected."""
+    yield
+    for rdd in spark.sparkContext._jsc.getPersistentRDDs().values():
+        rdd.unpersist()
+
+
 def frame(spark, rows, partitions=3):
     return spark.createDataFrame(rows, "key int, label int, fp array<int>, emb array<double>").repartition(partitions)
 
@@ -84,6 +92,24 @@ def test_parts_give_the_trees_of_the_whole(spark, pairs, monkeypatch):
         assert np.array_equal(getattr(got, name), getattr(want, name)), name
 
 
+@pytest.mark.parametrize("chunks", [{}, {"REPLAYED": 2, "CELLS": 1, "BLOCK": 100, "ROWS": 64}])
+def test_listed_on_bits_give_the_trees_of_packed_ones(spark, pairs, monkeypatch, chunks):
+    """Few of many positions are listed: repeated, unknown and no positions, and what is written anew."""
+    rows = [(k, y, [*(37 * b for b in bits if k % 5), *bits, 900, *bits[:1]], emb) for k, y, bits, emb in pairs]
+    df, params, layouts = frame(spark, rows), {**DRAWN, "maxIter": 5}, []
+    for name, value in chunks.items():
+        monkeypatch.setattr(boosting, name, value)
+    layout = Boosting._layout
+    monkeypatch.setattr(Boosting, "_layout", lambda self, df: layouts.append(layout(self, df)) or layouts[-1])
+    got = trained(df, params, 600)._fitted()
+    assert layouts[0].listed and (layouts[0].head, layouts[0].width) == (0, 4)
+    monkeypatch.setattr(Boosting, "_layout", lambda self, df: boosting._Layout(600, layout(self, df).cuts))
+    want = trained(df, params, 600)._fitted()
+    for name in ("roots", "weights", "feature", "threshold", "left", "right", "value"):
+        assert np.array_equal(getattr(got, name), getattr(want, name)), name
+    assert ((0 < got.feature) & (got.feature < 600)).any()
+
+
 def test_training_keeps_bytes_not_doubles(spark):
     """20,000 rows of 64 bits and 64 numbers, no two alike: MLlib held about a kilobyte of each in memory."""
     rows = spark.range(0, 20_000, 1, 4).select(
